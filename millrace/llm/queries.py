@@ -1,4 +1,38 @@
 """Queries of the corpus problems."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..io import table
+from .leaks import find_leaks, needle_texts
+from .mixing import mix
+from .spans import shared_share, shared_spans
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = find_leaks(table(spark, d, "documents"), needle_texts(table(spark, d, "needles")))
+    return hits.select("doc_id", F.col("item_id").alias("needle_id")).distinct()
+
+
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """As p8_found, for passages of 24 words of which up to two may be edited."""
+    hits = find_leaks(table(spark, d, "documents"), needle_texts(table(spark, d, "needles")), window=24, max_edits=2, repeats=8)
+    return hits.select("doc_id", F.col("item_id").alias("needle_id"), "edits")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_share(shared_spans(table(spark, d, "documents")))
+
+
+QUERIES = {"p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
