@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from ..io import table
 from .leaks import find_leaks, needle_texts
 from .mixing import mix
+from .places import map_to_places, posting_mentions
+from .repeats import find_repeats
 from .spans import shared_share, shared_spans
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    mentions = posting_mentions(table(spark, d, "job"), table(spark, d, "job_facet"))
+    return map_to_places(mentions, table(spark, d, "place")).select(F.col("key").alias("job_id"), "place_id").distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = find_repeats(table(spark, d, "job"))
+    return pairs.select(F.col("a").alias("job_id_a"), F.col("b").alias("job_id_b"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     hits = find_leaks(table(spark, d, "documents"), needle_texts(table(spark, d, "needles")))
     return hits.select("doc_id", F.col("item_id").alias("needle_id")).distinct()
@@ -34,5 +46,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
