@@ -6,13 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..io import table
+from .languages import mislabelled, posting_languages
 from .leaks import find_leaks, needle_texts
 from .mixing import mix
+from .neighbours import embedding_rows, nearest_neighbours
 from .places import map_to_places, posting_mentions
 from .repeats import find_repeats
 from .spans import shared_share, shared_spans
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found, labels = posting_languages(table(spark, d, "job"), table(spark, d, "job_facet"))
+    return mislabelled(found, labels).select(F.col("key").alias("job_id"), "language").distinct()
+
+
+def p1_passages(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = posting_languages(table(spark, d, "job"), table(spark, d, "job_facet"))
+    return found.withColumnRenamed("key", "job_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    n = nearest_neighbours(embedding_rows(table(spark, d, "job_embedding")))
+    return n.select(F.least("key", "other").alias("job_id_a"), F.greatest("key", "other").alias("job_id_b")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     mentions = posting_mentions(table(spark, d, "job"), table(spark, d, "job_facet"))
     return map_to_places(mentions, table(spark, d, "place")).select(F.col("key").alias("job_id"), "place_id").distinct()
@@ -46,5 +63,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
