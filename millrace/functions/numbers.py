@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def wilson(hits: Column, total: Column, z: float = 1.645) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, within 0 and 1; null for no trials."""
-    n = total.cast("double")
-    p = hits / F.nullif(n, F.lit(0.0))
+    n = F.nullif(total.cast("double"), F.lit(0.0))
+    p = hits / n
     mid = p + z * z / (2 * n)
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
-    return F.greatest(F.lit(0.0), (mid - spread) / scale), F.least(F.lit(1.0), (mid + spread) / scale)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), (mid - spread) / scale)), F.when(n.isNotNull(), F.least(F.lit(1.0), (mid + spread) / scale))
 
 
 def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, radius: float = 6371.0) -> Column:
