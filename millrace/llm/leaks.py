@@ -28,7 +28,7 @@ class _Marks(dict):
 
 
 _MARKS = _Marks()
-_DIGRAPH = re.compile("([aou])e")
+_DIGRAPH = re.compile("([aou])e+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -152,7 +152,7 @@ def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 found.append((np.repeat(starts[near], n), item_starts[at]))
     if not found:
-        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype=str), "edits": pd.Series(dtype="int32")})
+        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype=object), "edits": pd.Series(dtype="int32")})
     d, i = (np.concatenate(x) for x in zip(*found))
     pairs = np.unique(np.stack([d, i]), axis=1)
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -168,7 +168,7 @@ def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[
         same = np.fromiter((ee > 0 or words[p : p + walk.window] == index.words[q : q + walk.window] for p, q, ee in zip(d, i, e)), bool, len(d))
         rows.append(pd.DataFrame({"doc": owner[d[same]], "item": index.owner[i[same]], "edits": e[same]}))
     best = pd.concat(rows).groupby(["doc", "item"], as_index=False).edits.min()
-    return pd.DataFrame({"doc_id": doc_ids[best.doc.to_numpy()], "item_id": [index.ids[k] for k in best["item"]], "edits": best.edits.astype("int32")})
+    return pd.DataFrame({"doc_id": doc_ids[best.doc.to_numpy()], "item_id": pd.Series([index.ids[k] for k in best["item"]], dtype=object), "edits": best.edits.astype("int32")})
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, repeats: int = 4, sample: int = 6, batch_items: int = 4000) -> DataFrame:
