@@ -72,9 +72,19 @@ class Tables:
         return np.packbits(unit @ self.planes > 0, axis=1)
 
 
-def _vectors(col: pd.Series) -> np.ndarray:
-    """Rows of numbers from their bytes (32-bit)."""
-    return np.frombuffer(b"".join(col), np.float32).reshape(len(col), -1) if len(col) else np.empty((0, 1), np.float32)
+def _encoded(row: np.ndarray) -> bytes:
+    """The bytes of a vector: in 16 bits a number where that loses nothing, else in 32."""
+    with np.errstate(over="ignore"):
+        half = row.astype(np.float16)
+    return half.tobytes() if (half.astype(np.float32) == row).all() else row.tobytes()
+
+
+def _vectors(col: pd.Series, dim: int) -> np.ndarray:
+    """Rows of numbers from their bytes."""
+    out = np.empty((len(col), dim), np.float32)
+    for i, b in enumerate(col):
+        out[i] = np.frombuffer(b, np.float16 if len(b) == 2 * dim else np.float32)
+    return out
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -134,7 +144,7 @@ def _slice_pairs(bits_more: int, best: int):
             keep = h <= np.repeat(bound, size)
             out_q.append(cid[q[keep]]), out_c.append(cid[c[keep]]), out_h.append(h[keep])
         if not out_q:
-            return pd.DataFrame({"q": [], "cs": [], "hs": []})
+            return pd.DataFrame({"q": [], "cs": [], "hs": []}, dtype=object)
         q, c, h = np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_h)
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
         end = np.r_[start[1:], len(q)]
@@ -162,16 +172,16 @@ def _merge(bits_more: int, best: int):
     return run
 
 
-def _exact(k: int):
+def _exact(k: int, dim: int):
     """The best of a group's members for each query of a block: similarities in 64 bits, rounded to six decimals."""
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(members) and len(queries):
-            m, mc, ids = _unit(_vectors(members.vec)), members.cid.to_numpy(), members.ids.tolist()
+            m, mc, ids = _unit(_vectors(members.vec, dim)), members.cid.to_numpy(), members.ids.tolist()
             m32, want = m.astype(np.float32), k + 1
             for s in range(0, len(queries), 512):
-                u, qc = _unit(_vectors(queries.vec.iloc[s : s + 512])), queries.cid.to_numpy()[s : s + 512]
+                u, qc = _unit(_vectors(queries.vec.iloc[s : s + 512], dim)), queries.cid.to_numpy()[s : s + 512]
                 near = u.astype(np.float32) @ m32.T
                 near[qc[:, None] == mc[None, :]] = -9
                 take = min(want, near.shape[1])
@@ -209,9 +219,11 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = np.stack(b.vec.to_list()).astype(np.float32) if len(b) else np.empty((0, dim), np.float32)
-            unit = _unit(raw).astype(np.float32) if len(b) else raw
-            yield pd.DataFrame({"key": b.key, "space": b.space, "vec": [x.tobytes() for x in raw], "same": [x.tobytes() for x in unit]})
+            if not len(b):
+                continue
+            raw = np.stack(b.vec.to_list()).astype(np.float32)
+            unit = _unit(raw).astype(np.float32)
+            yield pd.DataFrame({"key": b.key, "space": b.space, "vec": [_encoded(x) for x in raw], "same": [x.tobytes() for x in unit]})
 
     enc = good.mapInPandas(encode, "key bigint, space string, vec binary, same binary").withColumn("same", F.md5("same"))
     enc = cut(enc)
@@ -230,7 +242,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
                 t = made.setdefault(space, Tables(dim, sizes[space], tables))
                 for s in range(0, len(part), 2000):
                     p = part.iloc[s : s + 2000]
-                    unit = _unit(_vectors(p.vec)).astype(np.float32)
+                    unit = _unit(_vectors(p.vec, dim)).astype(np.float32)
                     sketch = [x.tobytes() for x in t.sketch(unit)]
                     keys = t.keys(unit)
                     cell = (keys % np.uint64(t.slices)).astype(np.int32)
@@ -251,7 +263,9 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
     of = F.coalesce(*[F.when(F.col("space") == s, n) for s, n in groups.items()], F.lit(1)) if groups else F.lit(1)
     group = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts"))), of).cast("int")
     home = cut(leader.join(crowd, "lead").select("cid", "space", group.alias("grp")))
-    visits = pairs.join(home.withColumnRenamed("cid", "c"), "c").select(F.col("q").alias("cid"), "space", "grp").distinct().unionByName(home.select("cid", "space", "grp")).distinct()
+    visits = pairs.join(home.withColumnRenamed("cid", "c"), "c").select(F.col("q").alias("cid"), "space", "grp").distinct()
+    # a query without candidates still sees its own group
+    visits = visits.unionByName(home.join(pairs.select(F.col("q").alias("cid")).distinct(), "cid", "left_anti").select("cid", "space", "grp"))
     visits = cut(visits)
     load = visits.groupBy("space", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     key = ["space", "grp", "block"]
@@ -259,7 +273,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
     asked = visits.join(load, ["space", "grp"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*key, "cid").join(v.select("cid", "vec"), "cid")
     # columns of their own on either side: both descend from the same tables
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    near = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_exact(k), "cid bigint, key bigint, sim double")
+    near = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_exact(k, dim), "cid bigint, key bigint, sim double")
     own = v.select("cid", F.explode("ids").alias("key"), F.lit(1.0).alias("sim"))
     every = near.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "key"))).where(F.col("r") <= k + 1)
     answer = every.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), F.col("key").alias("other")))).alias("list"))
