@@ -32,16 +32,17 @@ def role(title: str | None) -> str:
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The bigrams of a text as sorted 64-bit numbers; the n-th copy of a bigram has a number of its own, so that the
+    """The bigrams of a text as sorted 32-bit numbers; the n-th copy of a bigram has a number of its own, so that the
     overlap of two such sets is that of the multisets.  A single word stands for itself."""
     s = symbols(words_of(text))
     g = (s[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ s[1:]) if len(s) > 1 else s
     g = np.sort(g)
     if not len(g):
-        return g
+        return g.astype(np.uint32)
     first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     nth = np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))
-    return np.sort(g + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    g = (g + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique((g >> np.uint64(32)).astype(np.uint32))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,8 +57,8 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     if sets:
         g = np.concatenate(sets)
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        sign = np.where(g >> np.uint64(63), 1.0, -1.0)
-        v = np.bincount(row * DIM + (g % np.uint64(DIM)).astype(np.int64), sign, len(sets) * DIM).reshape(-1, DIM).astype(np.float32)
+        sign = np.where(g >> np.uint32(31), 1.0, -1.0)
+        v = np.bincount(row * DIM + (g % np.uint32(DIM)).astype(np.int64), sign, len(sets) * DIM).reshape(-1, DIM).astype(np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
@@ -141,16 +142,16 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    sets = [np.frombuffer(g, np.uint64) for g in pdf.grams]
+    sets = [np.frombuffer(g, np.uint32) for g in pdf.grams]
     g = Graph.build(sketch(sets))
-    blob = _pack(ids=pdf.id.to_numpy(), same=pdf.same.to_numpy(), vectors=g.vectors.astype(np.float16), indptr=g.indptr, indices=g.indices, beam=np.array([g.beam]), cut=np.cumsum([0, *map(len, sets)]), grams=np.concatenate(sets) if sets else np.empty(0, np.uint64))
+    blob = _pack(ids=pdf.id.to_numpy(), same=pdf.same.to_numpy(), vectors=g.vectors.astype(np.float16), indptr=g.indptr, indices=g.indices, beam=np.array([g.beam]), cut=np.cumsum([0, *map(len, sets)]), grams=np.concatenate(sets) if sets else np.empty(0, np.uint32))
     return pd.DataFrame({"seg": [int(pdf.seg.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "blob": [blob]})
 
 
 def _search_shard(least: float):
     def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        sets = [np.frombuffer(g, np.uint64) for g in queries.grams]
+        sets = [np.frombuffer(g, np.uint32) for g in queries.grams]
         ids, same = queries.id.to_numpy(), queries.same.to_numpy()
         v = sketch(sets)
         for blob in shards.blob:
@@ -223,7 +224,7 @@ def describe(postings: DataFrame) -> DataFrame:
             who = [employer(c) for c in b.company]
             same = [f"{w}\n{role(t)}" for w, t in zip(who, b.title)]
             sets = [grams(t).tobytes() for t in b.description]
-            yield pd.DataFrame({"id": b.id, "batch_no": b.batch_no, "who": symbols(who).astype(np.int64), "same": symbols(same).astype(np.int64), "grams": sets})
+            yield pd.DataFrame({"id": b.id, "batch_no": b.batch_no, "who": symbols(who).astype(np.int64), "same": symbols(same).astype(np.int64), "grams": pd.Series(sets, dtype=object)})
 
     p = postings.where("description IS NOT NULL AND id IS NOT NULL").select("id", F.coalesce("batch_no", F.lit(0)).alias("batch_no"), "title", "company", "description")
     return p.mapInPandas(run, "id bigint, batch_no int, who bigint, same bigint, grams binary").where(F.length("grams") > 0)
