@@ -84,7 +84,7 @@ def _packed(frame: pd.DataFrame, k: int, m: int, keep=None) -> pd.DataFrame:
         for h, a, b in super_kmers(t, k, m):
             if keep is None or keep(h):
                 doc.append(d), mini.append(h), start.append(a), chars.append(t[a:b])
-    return pd.DataFrame({"mini": np.array(mini, np.int64), "doc_id": np.array(doc, np.int64), "start": np.array(start, np.int32), "chars": chars})
+    return pd.DataFrame({"mini": np.array(mini, np.int64), "doc_id": np.array(doc, np.int64), "start": np.array(start, np.int32), "chars": pd.Series(chars, dtype=object)})
 
 
 def _sorted_windows(frame: pd.DataFrame, k: int):
@@ -163,9 +163,10 @@ def shared_spans(documents: DataFrame, k: int = 600, m: int = 31, hot: int = 200
 
     docs = documents.where(F.length("text") >= k).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.length("text").alias("n"))
     keyed = docs.select("doc_id", "n", F.sha2("text", 256).alias("h"))
-    classes = cut(keyed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    copies = keyed.join(classes.where("members > 1").select("h"), "h", "left_semi").select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b"))
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    many = keyed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).where("members > 1")
+    copies = cut(keyed.join(many.select("h", "rep"), "h").select("doc_id", "n", "rep"))
+    # only the further members of a class are taken out, so no text is shuffled where copies are few
+    reps = docs.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
 
     def minis(batches):
         for b in batches:
@@ -187,17 +188,20 @@ def shared_spans(documents: DataFrame, k: int = 600, m: int = 31, hot: int = 200
             yield _packed(b, k, m, keep)
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strings = reps.mapInPandas(packed, "mini bigint, doc_id bigint, start int, chars string").join(shared, "mini")
-    any_hot = bool(shared.where(F.col("strings") > hot).take(1))
+    strings = reps.mapInPandas(packed, "mini bigint, doc_id bigint, start int, chars string")
+    crowded = shared.where(F.col("strings") > hot).select("mini")
+    any_hot = bool(crowded.take(1))
+    usual = strings
     if any_hot:
         strings = cut(strings)
+        usual = strings.join(crowded, "mini", "left_anti")
 
     def count(batches):
         for f in _by_bucket(batches, 2_000_000, True):
             yield _shared_windows(f, k)
 
-    usual = strings.where(F.col("strings") <= hot).drop("strings").repartition(parts, "mini").sortWithinPartitions("mini")
-    out = copies.unionByName(usual.mapInPandas(count, "doc_id bigint, a int, b int"))
+    usual = usual.repartition(parts, "mini").sortWithinPartitions("mini")
+    out = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b")).unionByName(usual.mapInPandas(count, "doc_id bigint, a int, b int"))
     if any_hot:
 
         def ends(batches):
@@ -211,7 +215,7 @@ def shared_spans(documents: DataFrame, k: int = 600, m: int = 31, hot: int = 200
                 h1, h2, owner, off, _ = _sorted_windows(f, k)
                 yield pd.DataFrame({"h1": h1.astype(np.int64), "h2": h2.astype(np.int64), "doc_id": f.doc_id.to_numpy()[owner], "a": (f.start.to_numpy()[owner] + off).astype(np.int32)})
 
-        spread = strings.where(F.col("strings") > hot).drop("strings").repartition(parts)
+        spread = strings.join(crowded, "mini", "left_semi").repartition(parts)
         two = spread.mapInPandas(ends, "h1 bigint, h2 bigint, lo bigint, hi bigint").groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2")
         hit = spread.mapInPandas(places, "h1 bigint, h2 bigint, doc_id bigint, a int").join(two, ["h1", "h2"], "left_semi")
         out = out.unionByName(hit.select("doc_id", "a", (F.col("a") + k).alias("b")))
