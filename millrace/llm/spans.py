@@ -148,12 +148,12 @@ def _by_bucket(batches: Iterator[pd.DataFrame], chars_at_once: int, whole: bool)
         yield pd.concat(held, ignore_index=True)
 
 
-def shared_spans(documents: DataFrame, k: int = 600, m: int = 31, hot: int = 2000, bits: int = 1 << 22) -> DataFrame:
+def shared_spans(documents: DataFrame, k: int = 600, m: int = 300, hot: int = 2000, bits: int = 1 << 22) -> DataFrame:
     """``doc_id, a, b``: stretches of at least ``k`` code points that stand, exactly, in another document too; may overlap.
 
     Equal texts form one class, of which one member goes on; members of larger classes are shared from end to end.
     Consecutive windows with the same minimiser travel as one string to its bucket, where sorting the windows counts them
-    exactly.  Buckets of one class never leave their task: a bit map of ``bits`` bits, whose size is fixed, drops them at the
+    exactly.  Minimisers of half a window's length are shared only by texts that have that much in common.  Buckets of one class never leave their task: a bit map of ``bits`` bits, whose size is fixed, drops them at the
     source (a false bit costs traffic, not correctness).  A bucket of more than ``hot`` strings is spread over tasks and its
     windows are counted by their 128-bit hashes with map-side combine, so no bucket is gathered in one task.
 
