@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, reference
+from . import derived, problems, reference
 
-QUERIES = problems.QUERIES | reference.QUERIES
-ORACLE = problems.ORACLE | reference.ORACLE
+QUERIES = problems.QUERIES | derived.QUERIES
+ORACLE = problems.ORACLE | derived.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
