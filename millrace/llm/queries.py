@@ -63,5 +63,22 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(shared_spans(table(spark, d, "documents")))
 
 
+# SQL for the same results, by brute force.
+_P2 = """WITH l AS (SELECT job_id, arg_max({'v': embedding_version, 'e': embedding_768}, (embedded_at, embedding_768)) AS r FROM job_embedding GROUP BY 1),
+u AS (SELECT job_id, r.v AS v, (r.e)::DOUBLE[] AS e FROM l WHERE len(r.e) = 768 AND len(list_filter(r.e, lambda x: x IS NOT NULL AND isfinite(x))) = 768 AND len(list_filter(r.e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.job_id AS a, b.job_id AS b, row_number() OVER (PARTITION BY a.job_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.job_id) AS r FROM u a JOIN u b ON a.v = b.v AND a.job_id <> b.job_id)
+SELECT DISTINCT least(a, b) AS job_id_a, greatest(a, b) AS job_id_b FROM p WHERE r <= 5"""
+
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(replace(lower(regexp_replace(regexp_replace({0}, '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{feff}}]', '', 'g')), 'ß', 'ss')), '([aou])e+', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_DECODED = "text"
+for _n in (196,214,220,223,228,246,252,233,232): _DECODED = f"replace({_DECODED}, '&#{_n};', '{chr(_n)}')"
+_P8 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(_DECODED)} AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT id, {_WORDS.format("json_extract_string(detail, '$.stellenangebotsBeschreibung')")} AS w FROM needles WHERE detail IS NOT NULL),
+a AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 12), b AS (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM n WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, id AS needle_id FROM (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS p FROM a) x JOIN (SELECT id, array_to_string(w[i:i + 11], ' ') AS p FROM b) y USING (p)"""
+
+_P10 = """WITH d AS (SELECT doc_id, text, unnest(generate_series(1, length(text) - 599)) AS i FROM documents WHERE length(text) >= 600),
+w AS (SELECT doc_id, i, md5(substr(text, i, 600)) AS h FROM d), s AS (SELECT h FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id))
+SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM (SELECT doc_id, coalesce(least(600, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i)), 600) AS n FROM w SEMI JOIN s USING (h)) GROUP BY 1"""
+
 QUERIES = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+ORACLE = {"p2_found": _P2, "p8_found": _P8, "p10_found": _P10}
