@@ -57,15 +57,15 @@ def plan_scans(rows: DataFrame, levels: list[str], cap: int) -> DataFrame:
     A part is divided by the next level only where it is too large; at the last level it stays, too large or not.  Counted
     once at the finest level and summed up from there.
     """
-    fine = rows.groupBy(*levels).agg(F.count("*").alias("n"))
+    fine = rows.groupBy(*levels).agg(F.count("*").alias("_rows"))
     for i in range(len(levels)):
-        fine = fine.withColumn(f"_s{i}", F.sum("n").over(Window.partitionBy(*levels[: i + 1])))
+        fine = fine.withColumn(f"_s{i}", F.sum("_rows").over(Window.partitionBy(*levels[: i + 1])))
     level = F.lit(len(levels))
     for i in range(len(levels) - 1, 0, -1):
         level = F.when(F.col(f"_s{i - 1}") <= cap, i).otherwise(level)
-    fine = fine.withColumn("level", level)
-    keep = [F.when(F.col("level") > i, F.col(c)).alias(c) for i, c in enumerate(levels)]
-    return fine.select("level", *keep, "n").groupBy("level", *levels).agg(F.sum("n").alias("rows"))
+    fine = fine.withColumn("_level", level)
+    keep = [F.when(F.col("_level") > i, F.col(c)).alias(c) for i, c in enumerate(levels)]
+    return fine.select(F.col("_level").alias("level"), *keep, "_rows").groupBy("level", *levels).agg(F.sum("_rows").alias("rows"))
 
 
 def delta_window(rows: DataFrame, key: str, at: str, cutoff: Column, tie: str) -> DataFrame:
