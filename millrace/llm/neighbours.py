@@ -254,15 +254,16 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
                                 yield pd.DataFrame({"space": space, "part": n * t.slices + x, "cid": p.cid.to_numpy()[at], "home": here[at, 0], "own": keys[n, at, 0].view(np.int64), "probes": [keys[n, i, here[i]].tobytes() for i in at], "sketch": [sketch[i] for i in at]})
 
     hashes = v.mapInPandas(hashed, "space string, part int, cid bigint, home boolean, own bigint, probes binary, sketch binary")
-    found = hashes.groupBy("space", "part").applyInPandas(_slice_pairs(MARGIN, k), "q bigint, cs binary, hs binary")
+    # groups of few bytes are much work here, so they are spread by number of tasks, not by size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = hashes.repartition(parts, "space", "part").groupBy("space", "part").applyInPandas(_slice_pairs(MARGIN, k), "q bigint, cs binary, hs binary")
     blocks = max(1, -(-sum(sizes.values()) // BLOCK))
     pairs = cut(found.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("_b")).applyInPandas(_merge(MARGIN, k), "q bigint, c bigint, h int"))
     leader = v.select("cid", "space").join(pairs.where(F.col("h") <= NEAR).groupBy(F.col("q").alias("cid")).agg(F.min("c").alias("c")), "cid", "left").select("cid", "space", F.least("cid", "c").alias("lead"))
     crowd = leader.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    groups = {s: max(1, -(-n // GROUP)) for s, n in sizes.items()}
-    of = F.coalesce(*[F.when(F.col("space") == s, n) for s, n in groups.items()], F.lit(1)) if groups else F.lit(1)
-    group = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts"))), of).cast("int")
-    home = cut(leader.join(crowd, "lead").select("cid", "space", group.alias("grp")))
+    groups = spark.createDataFrame([(s, max(1, -(-n // GROUP))) for s, n in sizes.items()], "space string, groups int")
+    group = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts"))), F.col("groups")).cast("int")
+    home = cut(leader.join(crowd, "lead").join(F.broadcast(groups), "space").select("cid", "space", group.alias("grp")))
     visits = pairs.join(home.withColumnRenamed("cid", "c"), "c").select(F.col("q").alias("cid"), "space", "grp").distinct()
     # a query without candidates still sees its own group
     visits = visits.unionByName(home.join(pairs.select(F.col("q").alias("cid")).distinct(), "cid", "left_anti").select("cid", "space", "grp"))
@@ -273,7 +274,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
     asked = visits.join(load, ["space", "grp"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*key, "cid").join(v.select("cid", "vec"), "cid")
     # columns of their own on either side: both descend from the same tables
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    near = members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_exact(k, dim), "cid bigint, key bigint, sim double")
+    near = members.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(_exact(k, dim), "cid bigint, key bigint, sim double")
     own = v.select("cid", F.explode("ids").alias("key"), F.lit(1.0).alias("sim"))
     every = near.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "key"))).where(F.col("r") <= k + 1)
     answer = every.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), F.col("key").alias("other")))).alias("list"))
