@@ -172,6 +172,11 @@ def _search_shard(least: float):
     return run
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys over all tasks: groups of few bytes that are much work must not end up in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class RepeatIndex:
     """Shards of graphs over accepted postings.
 
@@ -189,7 +194,7 @@ class RepeatIndex:
         p = postings.groupBy("seg", "same", "grams").agg(F.min("id").alias("id"))
         sizes = p.groupBy("seg").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("chunks"))
         p = p.join(sizes, "seg").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        return p.select("seg", "chunk", "id", "same", "grams").groupBy("seg", "chunk").applyInPandas(_build_shard, "seg int, chunk int, blob binary")
+        return _spread(p.select("seg", "chunk", "id", "same", "grams"), "seg", "chunk").groupBy("seg", "chunk").applyInPandas(_build_shard, "seg int, chunk int, blob binary")
 
     def add(self, postings: DataFrame) -> None:
         from ..io import cut
@@ -213,7 +218,7 @@ class RepeatIndex:
         names = held.select(*[F.col(c).alias(c) for c in ("seg", "chunk", "layer")]).join(blocks, "seg")
         right = queries.join(names, "seg").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
         key = ["seg", "chunk", "layer", "block"]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search_shard(self.least), EMPTY)
+        return _spread(left, *key).groupBy(*key).cogroup(_spread(right, *key).groupBy(*key)).applyInPandas(_search_shard(self.least), EMPTY)
 
 
 def describe(postings: DataFrame) -> DataFrame:
