@@ -184,7 +184,10 @@ def map_to_places(mentions: DataFrame, places: DataFrame, max_places: int = 100_
             out = [(m, p, k) for m in b.mention for p, k in g.read(m) or []]
             yield pd.DataFrame(out, columns=["mention", "place_id", "distance"])
 
-    found = single.select("mention").distinct().mapInPandas(read, "mention string, place_id bigint, distance int")
+    # few bytes but much work: spread over all tasks, whatever their size (by a hash, as a plain repartition by the
+    # key would fall away after the distinct)
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = single.select("mention").distinct().repartition(parts, F.xxhash64("mention")).mapInPandas(read, "mention string, place_id bigint, distance int")
     # a mention may stand in a third of all rows: its rows are spread over salts
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return single.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(spread, ["mention", "salt"]).drop("salt")
