@@ -124,7 +124,7 @@ def _slice_pairs(bits_more: int, best: int):
         out_q, out_c, out_h = [], [], []
         # as many queries at once as have about a million mates
         edges = np.searchsorted(np.cumsum(mates), np.arange(0, mates.sum() + 1_000_000, 1_000_000), "left")
-        edges = np.unique(np.r_[0, edges + 1, len(pdf)].clip(0, len(pdf)))
+        edges = np.unique(np.r_[edges + 1, np.arange(0, len(pdf), 4096), len(pdf)].clip(0, len(pdf)))
         first = np.r_[0, np.cumsum(counts)]
         for a, b in zip(edges[:-1], edges[1:]):
             s = slice(first[a], first[b])
@@ -133,15 +133,13 @@ def _slice_pairs(bits_more: int, best: int):
                 continue
             at = np.repeat(lo[s] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
             q, c = np.repeat(q_of[s], m), own[at]
-            ok = q != c
-            q, c = q[ok], c[ok]
-            h = np.bitwise_count(sk[q] ^ sk[c]).sum(1).astype(np.int16)
-            order = np.lexsort((h, q))
-            q, c, h = q[order], c[order], h[order]
-            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-            size = np.diff(np.r_[start, len(q)])
-            bound = h[start + np.minimum(best, size) - 1] + bits_more
-            keep = h <= np.repeat(bound, size)
+            h = np.bitwise_count(sk[q] ^ sk[c]).sum(1, dtype=np.int16)
+            h[q == c] = BITS + 1
+            # the best-th smallest of each query from counts by bits: no sorting of all mates
+            near = np.bincount((q - a) * (BITS + 2) + h, minlength=(b - a) * (BITS + 2)).reshape(b - a, BITS + 2)[:, : BITS + 1].cumsum(1)
+            enough = np.minimum(near[:, -1], best)
+            bound = (near >= np.maximum(enough, 1)[:, None]).argmax(1) + bits_more
+            keep = np.flatnonzero((h <= bound[q - a]) & (h <= BITS))
             out_q.append(cid[q[keep]]), out_c.append(cid[c[keep]]), out_h.append(h[keep])
         if not out_q:
             return pd.DataFrame({"q": [], "cs": [], "hs": []}, dtype=object)
