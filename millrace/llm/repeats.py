@@ -51,6 +51,25 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return n / max(1, len(a) + len(b) - n)
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray], width: int = 16384) -> np.ndarray:
+    """(len(a), len(b)) numbers of grams that two gram sets have in common, ``width`` different grams at a time."""
+    ga, gb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    held = np.unique(ga)
+    at = np.minimum(np.searchsorted(held, gb), len(held) - 1)
+    hit = held[at] == gb
+    ca, cb, rb = np.searchsorted(held, ga), at[hit], rb[hit]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for s in range(0, len(held), width):
+        w = min(width, len(held) - s)
+        x, y = np.zeros((len(a), w), np.float32), np.zeros((len(b), w), np.float32)
+        i, j = (ca >= s) & (ca < s + w), (cb >= s) & (cb < s + w)
+        x[ra[i], ca[i] - s] = 1
+        y[rb[j], cb[j] - s] = 1
+        out += x @ y.T
+    return out
+
+
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Count sketches of gram sets, of length one."""
     v = np.zeros((len(sets), DIM), np.float32)
@@ -148,6 +167,24 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seg": [int(pdf.seg.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "blob": [blob]})
 
 
+def _whole_groups(ids, same, sets, held, held_same, held_sets, least: float) -> Iterator[tuple[int, int, float]]:
+    """``b, a, sim`` of queries and all held postings of their role and employer, compared exactly in bounded blocks."""
+    order = np.argsort(held_same, kind="stable")
+    by = held_same[order]
+    mine = np.argsort(same, kind="stable")
+    for group in np.split(mine, np.flatnonzero(np.diff(same[mine])) + 1) if len(mine) else []:
+        lo, hi = np.searchsorted(by, same[group[0]], "left"), np.searchsorted(by, same[group[0]], "right")
+        for s in range(0, len(group), 64):
+            q = group[s : s + 64]
+            for t in range(lo, hi, 512):
+                m = order[t : min(t + 512, hi)]
+                n = shared([sets[i] for i in q], [held_sets(k) for k in m])
+                sizes = np.array([len(sets[i]) for i in q])[:, None] + np.array([len(held_sets(k)) for k in m])[None, :]
+                sim = n.astype(float) / np.maximum(1, sizes - n.astype(np.int64))
+                for i, k in zip(*np.nonzero((sim >= least) & (held[m][None, :] < ids[q][:, None]))):
+                    yield int(ids[q[i]]), int(held[m[k]]), float(sim[i, k])
+
+
 def _search_shard(least: float):
     def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -158,15 +195,28 @@ def _search_shard(least: float):
             with np.load(io.BytesIO(blob)) as z:
                 graph = Graph(z["vectors"].astype(np.float32), z["indptr"], z["indices"], int(z["beam"][0]))
                 held, held_same, cut, every = z["ids"], z["same"], z["cut"], z["grams"]
+            # how many of the shard's postings each query may repeat
+            order = np.lexsort((held, held_same))
+            groups, first = np.unique(held_same[order], return_index=True)
+            by = dict(zip(groups.tolist(), np.split(held[order], first[1:])))
+            may = np.array([np.searchsorted(by[w], i) if w in by else 0 for w, i in zip(same.tolist(), ids.tolist())], int)
+            rest = []
             for s in range(0, len(ids), 512):
                 q, node, _ = graph.search(v[s : s + 512])
                 q = q + s
                 # the same role at the same employer, accepted before
                 ok = (held_same[node] == same[q]) & (held[node] < ids[q])
+                # a beam that does not hold all of them is no answer: near copies may fill it
+                missed = np.bincount(q[ok], minlength=len(ids)) < may
+                missed[: s], missed[s + 512 :] = False, False
+                rest.append(np.flatnonzero(missed))
+                ok &= ~missed[q]
                 for i, k in zip(q[ok].tolist(), node[ok].tolist()):
                     sim = overlap(sets[i], every[cut[k] : cut[k + 1]])
                     if sim >= least:
                         out.append((int(ids[i]), int(held[k]), sim))
+            r = np.concatenate(rest) if rest else np.empty(0, int)
+            out += _whole_groups(ids[r], same[r], [sets[i] for i in r], held, held_same, lambda k: every[cut[k] : cut[k + 1]], least)
         return pd.DataFrame(out, columns=["b", "a", "sim"])
 
     return run
@@ -182,7 +232,8 @@ class RepeatIndex:
 
     History is divided into segments by employer, a segment into shards of about ``SHARD`` postings, so a large employer
     has many shards and none is unbounded.  Each batch adds a layer of shards; when there are more than ``layers`` of them,
-    the layers of batches are compacted into one.  A query visits the shards of its employer's segment only.
+    the layers of batches are compacted into one.  A query visits the shards of its employer's segment only; where its beam
+    does not hold all of a shard's postings of its role and employer, it is compared with all of those exactly.
     """
 
     def __init__(self, segments: int, layers: int = 4, least: float = 0.5):

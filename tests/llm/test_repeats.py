@@ -64,6 +64,27 @@ def test_a_third_are_copies_and_chains(spark):
     assert got == dict.fromkeys(range(1, 60), 0)
 
 
+def test_a_third_are_near_copies_with_slips(spark):
+    rng = random.Random(2)
+    s = " ".join(posting(rng)).split()
+    rows = [(i, 0, "A", "B", " ".join(posting(rng)), "x") for i in range(40)]
+    for i in range(40, 940):
+        w = list(s)
+        for p in rng.sample(range(len(w)), 6):
+            w[p] = f"slip{i}x{p}"
+        rows.append((i, 1, "A", "B", " ".join(w if i % 3 == 0 else posting(rng)), "x"))
+    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict.fromkeys(range(45, 940, 3), 42)
+    assert got == expected(rows)
+
+
+def test_shared_in_narrow_blocks():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, n).astype(np.uint32)) for n in (5, 40, 80, 1)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+    assert R.shared(sets[:3], sets, width=16).tolist() == want
+
+
 def test_empty_and_history_only(spark):
     df = spark.createDataFrame([(1, 0, "A", "B", "eins zwei drei", "x")], SCHEMA)
     assert R.find_repeats(df).count() == 0
