@@ -94,17 +94,28 @@ class WalkEmbedding:
         return np.stack([_mix(out[r] + np.uint64(r)) for r in range(len(out))]) if len(out) else out
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each row of ``a`` to the same row of ``b``."""
-    n, m = a.shape[1], b.shape[1]
-    prev = np.tile(np.arange(m + 1), (len(a), 1))
+def _edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Word edit distance of each row of ``a`` to the same row of ``b``, of equal length; right where it is at most ``most``,
+    else above it: so few edits never leave the diagonal by more than half of them."""
+    n, band = a.shape[1], most // 2
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(a.shape[1], most + 1, np.int16)
+    prev = [far if o < band else np.full(a.shape[1], o - band, np.int16) for o in range(2 * band + 1)]
     for i in range(1, n + 1):
-        cur = np.empty_like(prev)
-        cur[:, 0] = i
-        for j in range(1, m + 1):
-            cur[:, j] = np.minimum(np.minimum(prev[:, j], cur[:, j - 1]) + 1, prev[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
+        cur: list[np.ndarray] = []
+        for o in range(2 * band + 1):
+            j = i + o - band
+            if j < 0 or j > n:
+                cur.append(far)
+                continue
+            best = prev[o] + (a[i - 1] != b[j - 1]) if j else np.full(a.shape[1], i, np.int16)
+            if o and j:
+                best = np.minimum(best, cur[o - 1] + 1)
+            if o < 2 * band:
+                best = np.minimum(best, prev[o + 1] + 1)
+            cur.append(np.minimum(best, far))
         prev = cur
-    return prev[:, m]
+    return prev[band]
 
 
 def _windows(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -115,10 +126,19 @@ def _windows(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(room >= window)
 
 
+def _seeds(syms: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of all runs of ``size`` words inside one text."""
+    starts = _windows(lengths, size)
+    keys = np.zeros(len(starts), np.uint64)
+    for j in range(size):
+        keys = _mix(keys + syms[starts + j] + np.uint64(j + 1))
+    return starts, keys
+
+
 class _Index:
-    """The items' windows by key, in every repetition."""
+    """The items' windows by key, in every repetition; with edits, the items' runs of words that edits must leave whole."""
 
-    def __init__(self, ids: list[str], texts: list[str], walk: WalkEmbedding):
+    def __init__(self, ids: list[str], texts: list[str], walk: WalkEmbedding, max_edits: int = 0):
         lists = [words_of(t) for t in texts]
         self.ids, self.words = ids, [w for l in lists for w in l]
         self.syms = symbols(self.words)
@@ -126,6 +146,15 @@ class _Index:
         self.owner = np.repeat(np.arange(len(ids)), lengths)
         self.starts = _windows(lengths, walk.window)
         self.tables = []
+        if max_edits:
+            # the words that stay are in at most one more run than there are edits, so one run has this length
+            self.size = max(1, -(-(walk.window - max_edits) // (max_edits + 1)))
+            starts, keys = _seeds(self.syms, lengths, self.size)
+            order = np.argsort(keys, kind="stable")
+            self.runs = keys[order], starts[order]
+            self.whole = np.zeros(len(self.syms), bool)
+            self.whole[self.starts] = True
+            return
         keys = walk.keys(self.syms, self.starts) if len(self.starts) else np.zeros((len(walk.picks), 0), np.uint64)
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.starts))))) + 5)
         for k in keys:
@@ -135,38 +164,74 @@ class _Index:
             self.tables.append((k[order], self.starts[order], seen))
 
 
+def _same_key(sorted_keys: np.ndarray, held: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a start and a held start with the same key."""
+    lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
+    n = hi - lo
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(starts, n), held[at]
+
+
+def _sampled(index: _Index, walk: WalkEmbedding, syms: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Blocks of pairs of windows that share a sample."""
+    found = []
+    for k, (sorted_keys, item_starts, seen) in zip(walk.keys(syms, starts), index.tables):
+        near = np.flatnonzero(seen[(k & np.uint64(len(seen) - 1)).astype(np.int64)])
+        found.append(np.stack(_same_key(sorted_keys, item_starts, k[near], starts[near])))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    for a in range(0, pairs.shape[1], 200_000):
+        yield pairs[:, a : a + 200_000]
+
+
+def _seeded(index: _Index, window: int, syms: np.ndarray, lengths: np.ndarray, whole: np.ndarray, max_edits: int) -> Iterator[np.ndarray]:
+    """Blocks of pairs of windows that have a run of words in common where ``max_edits`` edits can have left it: all pairs
+    within that distance are among them."""
+    starts, keys = _seeds(syms, lengths, index.size)
+    p, q = _same_key(*index.runs, keys, starts)
+    # neighbours on a diagonal come together, so that few windows are in two blocks
+    by = np.lexsort((q, p - q))
+    p, q = p[by], q[by]
+    back = np.arange(window - index.size + 1)
+    shift = max_edits // 2
+    for a in range(0, len(p), 4096):
+        x, y = p[a : a + 4096, None, None], q[a : a + 4096, None, None]
+        i = np.broadcast_to(y - back[None, :, None], (len(x), len(back), 2 * shift + 1))
+        d = x - back[None, :, None] + np.arange(-shift, shift + 1)[None, None, :]
+        d, i = d.ravel(), i.ravel()
+        ok = (d >= 0) & (i >= 0)
+        d, i = d[ok], i[ok]
+        ok = whole[np.minimum(d, len(whole) - 1)] & (d < len(whole)) & index.whole[i]
+        cell = np.unique(d[ok] * len(index.whole) + i[ok])
+        yield np.stack([cell // len(index.whole), cell % len(index.whole)])
+
+
 def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[str | None], max_edits: int) -> pd.DataFrame:
     lists = [words_of(t) for t in texts]
     lengths = np.array([len(l) for l in lists], np.int64)
     words = [w for l in lists for w in l]
     starts = _windows(lengths, walk.window)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     syms = symbols(words)
+    blocks: Iterator[np.ndarray] = iter(())
     if len(starts) and len(index.starts):
-        keys = walk.keys(syms, starts)
-        for k, (sorted_keys, item_starts, seen) in zip(keys, index.tables):
-            near = np.flatnonzero(seen[(k & np.uint64(len(seen) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(sorted_keys, k[near], "left"), np.searchsorted(sorted_keys, k[near], "right")
-            n = hi - lo
-            if n.sum():
-                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((np.repeat(starts[near], n), item_starts[at]))
-    if not found:
-        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype=object), "edits": pd.Series(dtype="int32")})
-    d, i = (np.concatenate(x) for x in zip(*found))
-    pairs = np.unique(np.stack([d, i]), axis=1)
+        if max_edits:
+            whole = np.zeros(len(syms), bool)
+            whole[starts] = True
+            blocks = _seeded(index, walk.window, syms, lengths, whole, max_edits)
+        else:
+            blocks = _sampled(index, walk, syms, starts)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     span = np.arange(walk.window)
     rows = []
-    for a in range(0, pairs.shape[1], 200_000):
-        d, i = pairs[:, a : a + 200_000]
+    for d, i in blocks:
         x, y = syms[d[:, None] + span], index.syms[i[:, None] + span]
-        e = (x != y).any(1).astype(int) if max_edits == 0 else _edits(x, y)
+        e = (x != y).any(1).astype(int) if max_edits == 0 else _edits(x, y, max_edits)
         ok = e <= max_edits
         d, i, e = d[ok], i[ok], e[ok]
         # equal symbols stand for equal words only if the words agree
         same = np.fromiter((ee > 0 or words[p : p + walk.window] == index.words[q : q + walk.window] for p, q, ee in zip(d, i, e)), bool, len(d))
-        rows.append(pd.DataFrame({"doc": owner[d[same]], "item": index.owner[i[same]], "edits": e[same]}))
+        rows.append(pd.DataFrame({"doc": owner[d[same]], "item": index.owner[i[same]], "edits": e[same]}).groupby(["doc", "item"], as_index=False).edits.min())
+    if not rows:
+        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype=object), "edits": pd.Series(dtype="int32")})
     best = pd.concat(rows).groupby(["doc", "item"], as_index=False).edits.min()
     return pd.DataFrame({"doc_id": doc_ids[best.doc.to_numpy()], "item_id": pd.Series([index.ids[k] for k in best["item"]], dtype=object), "edits": best.edits.astype("int32")})
 
@@ -174,9 +239,11 @@ def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[
 def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, repeats: int = 4, sample: int = 6, batch_items: int = 4000) -> DataFrame:
     """``doc_id, item_id, edits``: documents with a passage of ``window`` words of an item, with at most ``max_edits`` words edited.
 
-    ``documents``: doc_id, text; ``items``: item_id, text.  Every window of every text is embedded by a random walk and
-    sampled in ``repeats`` repetitions; windows that share a sample with an item's window are verified exactly.  Equal
-    windows always meet, so with ``max_edits`` 0 nothing is lost; with edits, each overlapping window is another chance.
+    ``documents``: doc_id, text; ``items``: item_id, text.  With ``max_edits`` 0 every window of every text is embedded by a
+    random walk and sampled in ``repeats`` repetitions; windows that share a sample with an item's window are verified
+    exactly.  Equal windows always meet, so nothing is lost.  With edits, samples would lose pairs whose walks diverge:
+    instead, all windows that share a run of words so long that the edits cannot break every one are verified, so nothing
+    is lost either, and ``repeats`` and ``sample`` have no effect.  Edits are counted between windows of equal length.
 
     The corpus is read in one pass without a shuffle.  Items travel to the tasks ``batch_items`` at a time, which bounds what
     is sent; more items mean more passes.  Null and empty texts match nothing, texts shorter than a window neither;
@@ -196,7 +263,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, max_edi
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             walk = WalkEmbedding(window, repeats, sample)
-            index = _Index(*held.value, walk)
+            index = _Index(*held.value, walk, max_edits)
             for b in batches:
                 for a in range(0, len(b), 500):
                     part = b.iloc[a : a + 500]

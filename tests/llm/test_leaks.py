@@ -59,6 +59,41 @@ def test_edited_passages(spark):
     assert find_leaks(df, it, window=24, max_edits=2, repeats=8).count() >= 36
 
 
+def test_edited_passages_against_brute_force(spark):
+    rng = random.Random(4)
+    items = {str(k): [rng.choice(WORDS) for _ in range(rng.choice([23, 24, 24, 40]))] for k in range(12)}
+    docs = {}
+    for d in range(120):
+        k = rng.choice(list(items))
+        s = list(items[k][-24:])
+        for _ in range(rng.randint(0, 3)):
+            s[rng.randrange(len(s))] = "anders"
+        if rng.random() < 0.5:
+            del s[rng.randrange(len(s))]
+            s.insert(rng.randrange(len(s) + 1), "neu")
+        docs[d] = [rng.choice(WORDS) for _ in range(rng.randint(0, 9))] + s + [rng.choice(WORDS) for _ in range(rng.randint(0, 9))]
+
+    def distance(x, y):
+        prev = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            cur = [i]
+            for j, b in enumerate(y, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (a != b)))
+            prev = cur
+        return prev[-1]
+
+    want = {}
+    for d, w in docs.items():
+        for k, s in items.items():
+            e = min((distance(w[i : i + 24], s[j : j + 24]) for i in range(len(w) - 23) for j in range(len(s) - 23) if set(w[i : i + 24]) & set(s[j : j + 24])), default=99)
+            if e <= 2:
+                want[d, k] = e
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    it = spark.createDataFrame([(k, " ".join(s)) for k, s in items.items()], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in find_leaks(df, it, window=24, max_edits=2, repeats=8).collect()}
+    assert got == want and {0, 1, 2} <= set(want.values())
+
+
 def test_needle_without_detail(spark):
     n = spark.createDataFrame([("a", None), ("b", "{}"), ("c", '{"stellenangebotsBeschreibung": "x"}'), ("d", "kein json")], "id string, detail string")
     assert [tuple(r) for r in needle_texts(n).collect()] == [("c", "x")]
