@@ -175,10 +175,15 @@ def counterfactual_places(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     q = e.where(F.col("id") % 50 == 0).select(F.col("id").alias("q"), F.col("vec").alias("qv"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # the stated queries against all rows, as one broadcast block of at most 4096
-    block = q.limit(4096)
-    pool = e.join(F.broadcast(block), F.col("id") != F.col("q")).select("q", "id", F.round(1 - dot("vec", "qv") / F.sqrt(dot("vec", "vec") * dot("qv", "qv")), 6).alias("dist"))
-    return retrieval.counterfactual(pool, pool.where(F.col("id") == F.col("q") + 1), 200)
+    # the stated queries against all rows, in broadcast blocks of at most about PASS
+    n = max(1, -(-q.count() // retrieval.PASS))
+    out = None
+    for s in range(n):
+        block = q.where(F.pmod(F.xxhash64("q"), F.lit(n)) == s) if n > 1 else q
+        pool = e.join(F.broadcast(block), F.col("id") != F.col("q")).select("q", "id", F.round(1 - dot("vec", "qv") / F.sqrt(dot("vec", "vec") * dot("qv", "qv")), 6).alias("dist"))
+        part = retrieval.counterfactual(pool, pool.where(F.col("id") == F.col("q") + 1), 200)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _TOK = "list_filter(string_split(coalesce(" + _NORM + ", ''), ' '), lambda x: x <> '')"

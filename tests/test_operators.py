@@ -73,6 +73,17 @@ def test_counterfactual(spark):
     assert rows(retrieval.counterfactual(pool, p, 2)) == [(1, 8, None), (1, 9, 1), (2, 7, 1)]
 
 
+def test_counterfactual_places_of_more_queries_than_a_block(spark, tmp_path):
+    from millrace.plans import reference
+
+    n = 4400
+    ids = spark.range(n).select((F.col("id") * 50).alias("vec_id")).union(spark.range(n).where(f"id < 200 OR id >= {n - 200}").select(F.col("id") * 50 + 1))
+    e = ids.select("vec_id", F.array(F.cos("vec_id"), F.sin("vec_id")).cast("array<float>").alias("embedding"))
+    e.repartition(8).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.q for r in reference.counterfactual_places(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [50 * k for k in range(n) if k < 200 or k >= n - 200]
+
+
 def test_measures(spark):
     r = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "q long, id long, pos int")
     w = spark.createDataFrame([(1, 6), (1, 6), (1, 9)], "q long, id long")
