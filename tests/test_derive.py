@@ -76,3 +76,12 @@ def test_until_weak(spark):
     df = spark.createDataFrame(rows, "q string, place int, score double")
     got = {r.q: r.n for r in series.until_weak(df, ["q"], "place", "score", 2, 30.0).groupBy("q").agg(F.count("*").alias("n")).collect()}
     assert got == {"q": 10, "n": 2}
+
+
+def test_hashed_embeddings_take_whole_texts(spark, tmp_path):
+    from millrace.plans import derived
+
+    rows = [(k, "T", "C", "L", "wort " * 300 + end) for k, end in ((1, "eins"), (2, "zwei"))]
+    spark.createDataFrame(rows, "id long, title string, company string, location_text string, description string").write.parquet(f"{tmp_path}/job.parquet")
+    a, b = (list(r.vec) for r in derived.hashed_embeddings(spark, str(tmp_path)).orderBy("id").collect())
+    assert len(a) == len(b) == 64 and a != b
