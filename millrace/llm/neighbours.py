@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 #: Bits of the sketch that sifts bucket mates, bits within which a mate counts as near, and bits kept beyond the k-th best.
 BITS, NEAR, MARGIN = 256, 72, 16
-#: Vectors of a task: of a slice of a table, of a group of members, of a block of queries.
+#: Rows of a task: homes and queries of a cell of a table, vectors of a group of members, queries of a block.
 SLICE, GROUP, BLOCK = 20_000, 4096, 8192
+#: Candidates a query carries along singly; a query with more is compared with whole groups instead.
+CROWD = 512
 
 
 class Tables:
     """Hash tables of p-stable projections for ``n`` unit vectors of ``dim`` numbers.
 
-    Each table has K hashes floor((a·v + b) / w).  K grows with log n, so that buckets keep their size.  A query visits its own
-    bucket and ``2 K`` perturbed ones, in the order of their estimated chance: the sets of perturbations are ranked once by
-    expected distances, and each query maps the ranks to its own nearest boundaries.
+    Each table has K hashes floor((a·v + b) / w).  K grows with log n, so that buckets grow far slower than n; the number of
+    perturbed buckets a query visits beside its own grows as n to the power 0.18.  They are visited in the order of their
+    estimated chance: the sets of perturbations are ranked once by expected distances, and each query maps the ranks to its
+    own nearest boundaries.
     """
 
     def __init__(self, dim: int, n: int, tables: int = 8, seed: int = 11):
-        self.k = max(4, round(3.5 + math.log2(max(n, 1) / 1000 + 1e-9))) if n > 1000 else 4
-        self.w, self.probes, self.tables = 0.2 * self.k, 2 * self.k, tables
+        scale = max(n, 2) / 1000
+        self.k = max(2, round(7 + 0.7 * math.log2(scale)))
+        self.w, self.probes, self.tables = 1.6, min(3**self.k - 1, max(2, round(30 * scale**0.18))), tables
         self.slices = max(1, -(-n // SLICE))
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((dim, tables * self.k)).astype(np.float32)
@@ -51,7 +55,7 @@ class Tables:
         return out
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        """(tables, vectors, 1 + probes) bucket keys, the own bucket first."""
+        """(tables, vectors, 1 + probes) bucket keys of 32 bits, the own bucket first; keys that meet by chance cost a comparison."""
         n, k = len(unit), self.k
         f = (unit @ self.a + self.b) / self.w
         base = np.floor(f)
@@ -66,7 +70,7 @@ class Tables:
             for p, ranks in enumerate(self.sets):
                 out[t, :, 1 + p] = own + step[:, list(ranks)].sum(1, dtype=np.uint64)
             out[t] = (out[t] ^ (out[t] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return out
+        return (out >> np.uint64(32)).astype(np.uint32)
 
     def sketch(self, unit: np.ndarray) -> np.ndarray:
         return np.packbits(unit @ self.planes > 0, axis=1)
@@ -105,48 +109,66 @@ def usable_vectors(rows: DataFrame, dim: int) -> DataFrame:
     return latest.where(F.col("space").isNotNull() & (F.size("vec") == dim)).where(F.forall("vec", good) & F.exists("vec", lambda x: x != 0))
 
 
-def _slice_pairs(bits_more: int, best: int):
-    """Candidates of the queries in one slice of a table: those within ``bits_more`` bits of the query's ``best``-th nearest."""
+def _nearest(q: np.ndarray, c: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates in the order of queries, of each query the ``CROWD`` nearest; and whether the query had more."""
+    by = np.lexsort((c, h, q))
+    q, c, h = q[by], c[by], h[by]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    size = np.diff(np.r_[start, len(q)])
+    keep = np.arange(len(q)) - np.repeat(start, size) < CROWD
+    return q[keep], c[keep], h[keep], np.repeat(size > CROWD, size)[keep]
+
+
+def _lists(q: np.ndarray, c: np.ndarray, h: np.ndarray, more: np.ndarray) -> pd.DataFrame:
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    end = np.r_[start[1:], len(q)]
+    return pd.DataFrame({"q": q[start], "cs": pd.Series([c[i:j].tobytes() for i, j in zip(start, end)], dtype=object), "hs": pd.Series([h[i:j].tobytes() for i, j in zip(start, end)], dtype=object), "more": more[start]})
+
+
+def _cell_pairs(bits_more: int, best: int):
+    """Candidates of the queries in one cell of a table: those within ``bits_more`` bits of the query's ``best``-th nearest.
+
+    The ``best``-th nearest of a cell is no nearer than that of the whole table, so a table's cells together keep at least what
+    the table would.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cid = pdf.cid.to_numpy()
-        sk = np.frombuffer(b"".join(pdf.sketch), np.uint64).reshape(len(pdf), -1)
-        own = np.flatnonzero(pdf.home.to_numpy())
-        home = pdf.own.to_numpy()[own].view(np.uint64)
-        by = np.argsort(home, kind="stable")
-        home, own = home[by], own[by]
-        counts = pdf.probes.map(len).to_numpy() // 8
-        probe = np.frombuffer(b"".join(pdf.probes), np.uint64)
-        lo, n = np.searchsorted(home, probe, "left"), np.searchsorted(home, probe, "right")
+        is_home = pdf.home.to_numpy()
+        homes, asks = pdf[is_home], pdf[~is_home]
+        if not len(homes) or not len(asks):
+            return _lists(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16), np.empty(0, bool))
+        sketch = lambda f: np.frombuffer(b"".join(f.sketch), np.uint64).reshape(len(f), -1)
+        own = np.frombuffer(b"".join(homes["keys"]), np.uint32)
+        by = np.argsort(own, kind="stable")
+        own, home_id, home_sk = own[by], homes.cid.to_numpy()[by], sketch(homes)[by]
+        cid, sk = asks.cid.to_numpy(), sketch(asks)
+        counts = asks["keys"].map(len).to_numpy() // 4
+        probe = np.frombuffer(b"".join(asks["keys"]), np.uint32)
+        lo, n = np.searchsorted(own, probe, "left"), np.searchsorted(own, probe, "right")
         n = n - lo
-        q_of = np.repeat(np.arange(len(pdf)), counts)
-        mates = np.bincount(q_of, n, len(pdf)).astype(np.int64)
-        out_q, out_c, out_h = [], [], []
+        q_of = np.repeat(np.arange(len(asks)), counts)
+        mates = np.bincount(q_of, n, len(asks)).astype(np.int64)
+        out = []
         # as many queries at once as have about a million mates
         edges = np.searchsorted(np.cumsum(mates), np.arange(0, mates.sum() + 1_000_000, 1_000_000), "left")
-        edges = np.unique(np.r_[edges + 1, np.arange(0, len(pdf), 4096), len(pdf)].clip(0, len(pdf)))
+        edges = np.unique(np.r_[edges + 1, np.arange(0, len(asks), 4096), len(asks)].clip(0, len(asks)))
         first = np.r_[0, np.cumsum(counts)]
         for a, b in zip(edges[:-1], edges[1:]):
             s = slice(first[a], first[b])
             m = n[s]
             if not m.sum():
                 continue
-            at = np.repeat(lo[s] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
-            q, c = np.repeat(q_of[s], m), own[at]
-            h = np.bitwise_count(sk[q] ^ sk[c]).sum(1, dtype=np.int16)
-            h[q == c] = BITS + 1
+            c = np.repeat(lo[s] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            q = np.repeat(q_of[s], m)
+            h = np.bitwise_count(sk[q] ^ home_sk[c]).sum(1, dtype=np.int16)
+            h[cid[q] == home_id[c]] = BITS + 1
             # the best-th smallest of each query from counts by bits: no sorting of all mates
             near = np.bincount((q - a) * (BITS + 2) + h, minlength=(b - a) * (BITS + 2)).reshape(b - a, BITS + 2)[:, : BITS + 1].cumsum(1)
             enough = np.minimum(near[:, -1], best)
             bound = (near >= np.maximum(enough, 1)[:, None]).argmax(1) + bits_more
             keep = np.flatnonzero((h <= bound[q - a]) & (h <= BITS))
-            out_q.append(cid[q[keep]]), out_c.append(cid[c[keep]]), out_h.append(h[keep])
-        if not out_q:
-            return pd.DataFrame({"q": [], "cs": [], "hs": []}, dtype=object)
-        q, c, h = np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_h)
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-        end = np.r_[start[1:], len(q)]
-        return pd.DataFrame({"q": q[start], "cs": [c[i:j].tobytes() for i, j in zip(start, end)], "hs": [h[i:j].tobytes() for i, j in zip(start, end)]})
+            out.append(_nearest(cid[q[keep]], home_id[c[keep]], h[keep]))
+        return _lists(*[np.concatenate(x) for x in zip(*out)]) if out else _lists(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16), np.empty(0, bool))
 
     return run
 
@@ -156,41 +178,59 @@ def _merge(bits_more: int, best: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         size = pdf.cs.map(len).to_numpy() // 8
-        q = np.repeat(pdf.q.to_numpy(), size)
+        q, more = np.repeat(pdf.q.to_numpy(), size), np.repeat(pdf.more.to_numpy(), size)
         c, h = np.frombuffer(b"".join(pdf.cs), np.int64), np.frombuffer(b"".join(pdf.hs), np.int16)
         by = np.lexsort((c, h, q))
-        q, c, h = q[by], c[by], h[by]
-        once = np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (h[1:] != h[:-1])]
+        q, c, h, more = q[by], c[by], h[by], more[by]
+        more = np.maximum.reduceat(more, np.flatnonzero(np.r_[True, q[1:] != q[:-1]]))
+        once = np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])]
         q, c, h = q[once], c[once], h[once]
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         size = np.diff(np.r_[start, len(q)])
         keep = h <= np.repeat(h[start + np.minimum(best, size) - 1] + bits_more, size)
-        return pd.DataFrame({"q": q[keep], "c": c[keep], "h": h[keep].astype(np.int32)})
+        q, c, h, cut = _nearest(q[keep], c[keep], h[keep])
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        more = np.repeat(more | cut[start], np.diff(np.r_[start, len(q)]))
+        return pd.DataFrame({"q": q, "c": c, "h": h.astype(np.int32), "more": more})
 
     return run
 
 
 def _exact(k: int, dim: int):
-    """The best of a group's members for each query of a block: similarities in 64 bits, rounded to six decimals."""
+    """The best candidates of each query of a block among a group's members: similarities in 64 bits, rounded to six decimals.
+
+    A query whose candidates are not listed is compared with all members of the group.
+    """
+    want = k + 1
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(members) and len(queries):
+            members = members.sort_values("cid", ignore_index=True)
             m, mc, ids = _unit(_vectors(members.vec, dim)), members.cid.to_numpy(), members.ids.tolist()
-            m32, want = m.astype(np.float32), k + 1
-            for s in range(0, len(queries), 512):
-                u, qc = _unit(_vectors(queries.vec.iloc[s : s + 512], dim)), queries.cid.to_numpy()[s : s + 512]
-                near = u.astype(np.float32) @ m32.T
-                near[qc[:, None] == mc[None, :]] = -9
+            u, qc = _unit(_vectors(queries.vec, dim)), queries.cid.to_numpy()
+            listed = queries.cands.notna().to_numpy()
+            lists = [np.asarray(x, np.int64) for x in queries.cands[listed]]
+            rows = np.repeat(np.flatnonzero(listed), [len(x) for x in lists])
+            cols = np.searchsorted(mc, np.concatenate(lists)) if lists else np.empty(0, np.int64)
+            pairs = [(rows[s : s + 20_000], cols[s : s + 20_000]) for s in range(0, len(rows), 20_000)]
+            rest = np.flatnonzero(~listed)
+            for s in range(0, len(rest), 512):
+                r = rest[s : s + 512]
+                near = u[r].astype(np.float32) @ m.T.astype(np.float32)
+                near[qc[r][:, None] == mc[None, :]] = -9
                 take = min(want, near.shape[1])
                 least = -np.partition(-near, take - 1, axis=1)[:, take - 1]
-                rows, cols = np.nonzero((near >= least[:, None] - 2e-5) & (near > -9))
-                sims = np.round(np.einsum("ij,ij->i", u[rows], m[cols]), 6)
-                found: dict[int, list] = {}
-                for r, c, x in zip(rows.tolist(), cols.tolist(), sims.tolist()):
-                    found.setdefault(r, []).extend((-x, i) for i in ids[c])
-                for r, xs in found.items():
-                    out.extend((int(qc[r]), int(i), -x) for x, i in sorted(xs)[:want])
+                x, y = np.nonzero((near >= least[:, None] - 2e-5) & (near > -9))
+                pairs.append((r[x], y))
+            found: dict[int, list] = {}
+            for r, c in pairs:
+                sims = np.round(np.einsum("ij,ij->i", u[r], m[c]), 6)
+                for i, j, x in zip(r.tolist(), c.tolist(), sims.tolist()):
+                    found.setdefault(i, []).append((-x, j))
+            for r, xs in found.items():
+                best = sorted((x, i) for x, j in xs for i in ids[j])[:want]
+                out.extend((int(qc[r]), int(i), -x) for x, i in best)
         return pd.DataFrame(out, columns=["cid", "key", "sim"])
 
     return run
@@ -202,11 +242,16 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
     ``rows``: key, space, vec (array of float), stamp.  Equal vectors are one class, searched once; a class answers with its
     smallest keys.  Similarities are rounded to six decimals, ties go to the smaller key.
 
-    1. Every vector enters ``tables`` hash tables and probes perturbed buckets there; slices of a table compare 256-bit sketches
-       of bucket mates, never vectors, and keep the mates within a margin of the k-th best.
-    2. The tables' candidates are merged; vectors that share their smallest near candidate form groups.
-    3. Each query's vector travels once to each group that holds a candidate, and is compared exactly with the group's
-       members.  Groups, slices and blocks of queries are bounded whatever the skew.
+    1. Every vector enters ``tables`` hash tables and probes perturbed buckets there; cells of a table compare 256-bit sketches
+       of bucket mates, never vectors, and keep the mates within a margin of the k-th best.  A part of a table with many homes
+       or queries is divided into cells by hashes of both, so that a crowded bucket is spread over tasks.
+    2. The tables' candidates are merged; vectors that share their smallest near candidate form groups, which only says
+       which vectors travel together.
+    3. Each query's vector travels once to each group that holds a candidate, and is compared exactly with its candidates.
+
+    Where candidates are no answer there is an exact way: a query with more than ``CROWD`` of them within the margin (in a crowd
+    of nearly equal vectors) is compared with all members of the groups that hold its nearest ones, and one with fewer than
+    ``k`` candidates with its whole space.
 
     Null, short, zero and not finite vectors are left out; a space with fewer than k + 1 vectors gives what there is.
     """
@@ -229,9 +274,8 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
     firsts = enc.withColumn("r", F.row_number().over(Window.partitionBy("space", "same").orderBy("key"))).where(F.col("r") <= k + 1)
     classes = firsts.groupBy("space", "same").agg(F.min("key").alias("cid"), small("key").alias("ids"))
     v = cut(enc.withColumnRenamed("key", "cid").join(classes.select("cid", "ids"), "cid").select("cid", "space", "vec", "ids"))
-    sizes = {r[0]: r[1] for r in v.groupBy("space").count().limit(10_001).collect()}
-    if len(sizes) > 10_000:
-        raise ValueError("more than 10000 spaces")
+    # one row a space, and a space is one embedding model
+    sizes = {r[0]: r[1] for r in v.groupBy("space").count().collect()}
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Tables] = {}
@@ -240,36 +284,45 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
                 t = made.setdefault(space, Tables(dim, sizes[space], tables))
                 for s in range(0, len(part), 2000):
                     p = part.iloc[s : s + 2000]
-                    unit = _unit(_vectors(p.vec, dim)).astype(np.float32)
-                    sketch = [x.tobytes() for x in t.sketch(unit)]
+                    cid, unit = p.cid.to_numpy(), _unit(_vectors(p.vec, dim)).astype(np.float32)
+                    sketch = np.array([x.tobytes() for x in t.sketch(unit)], dtype=object)
                     keys = t.keys(unit)
-                    cell = (keys % np.uint64(t.slices)).astype(np.int32)
+                    cell = (keys % np.uint32(t.slices)).astype(np.int32)
                     for n in range(tables):
+                        yield pd.DataFrame({"space": space, "part": n * t.slices + cell[n, :, 0], "cid": cid, "home": True, "keys": [x.tobytes() for x in keys[n, :, 0]], "sketch": sketch})
                         for x in range(t.slices):
                             here = cell[n] == x
                             at = np.flatnonzero(here.any(1))
                             if len(at):
-                                yield pd.DataFrame({"space": space, "part": n * t.slices + x, "cid": p.cid.to_numpy()[at], "home": here[at, 0], "own": keys[n, at, 0].view(np.int64), "probes": [keys[n, i, here[i]].tobytes() for i in at], "sketch": [sketch[i] for i in at]})
-
-    hashes = v.mapInPandas(hashed, "space string, part int, cid bigint, home boolean, own bigint, probes binary, sketch binary")
+                                yield pd.DataFrame({"space": space, "part": n * t.slices + x, "cid": cid[at], "home": False, "keys": [keys[n, i, here[i]].tobytes() for i in at], "sketch": sketch[at]})
+
+    hashes = cut(v.mapInPandas(hashed, "space string, part int, cid bigint, home boolean, keys binary, sketch binary"))
+    # a part of a table is a grid of cells by hashes of its homes and of its queries
+    load = hashes.groupBy("space", "part").agg(F.ceil(F.count_if("home") / SLICE).cast("int").alias("down"), F.ceil(F.count_if(~F.col("home")) / SLICE).cast("int").alias("across")).where("down > 0 AND across > 0")
+    mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cells = hashes.join(load, ["space", "part"]).withColumn("row", F.explode(F.when(F.col("home"), F.array(mine("down"))).otherwise(every("down")))).withColumn("col", F.explode(F.when(F.col("home"), every("across")).otherwise(F.array(mine("across"))))).drop("down", "across")
     # groups of few bytes are much work here, so they are spread by number of tasks, not by size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hashes.repartition(parts, "space", "part").groupBy("space", "part").applyInPandas(_slice_pairs(MARGIN, k), "q bigint, cs binary, hs binary")
+    cell = ["space", "part", "row", "col"]
+    found = cells.repartition(parts, *cell).groupBy(*cell).applyInPandas(_cell_pairs(MARGIN, k), "q bigint, cs binary, hs binary, more boolean")
     blocks = max(1, -(-sum(sizes.values()) // BLOCK))
-    pairs = cut(found.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("_b")).applyInPandas(_merge(MARGIN, k), "q bigint, c bigint, h int"))
+    pairs = cut(found.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("_b")).applyInPandas(_merge(MARGIN, k), "q bigint, c bigint, h int, more boolean"))
     leader = v.select("cid", "space").join(pairs.where(F.col("h") <= NEAR).groupBy(F.col("q").alias("cid")).agg(F.min("c").alias("c")), "cid", "left").select("cid", "space", F.least("cid", "c").alias("lead"))
     crowd = leader.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     groups = spark.createDataFrame([(s, max(1, -(-n // GROUP))) for s, n in sizes.items()], "space string, groups int")
     group = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.col("parts"))), F.col("groups")).cast("int")
-    home = cut(leader.join(crowd, "lead").join(F.broadcast(groups), "space").select("cid", "space", group.alias("grp")))
-    visits = pairs.join(home.withColumnRenamed("cid", "c"), "c").select(F.col("q").alias("cid"), "space", "grp").distinct()
-    # a query without candidates still sees its own group
-    visits = visits.unionByName(home.join(pairs.select(F.col("q").alias("cid")).distinct(), "cid", "left_anti").select("cid", "space", "grp"))
-    visits = cut(visits)
+    home = cut(leader.join(crowd, "lead").join(groups, "space").select("cid", "space", group.alias("grp")))
+    # the candidates of a query in each group; none listed where it is compared with the whole group
+    listed = F.when(~F.bool_or("more"), F.collect_list("c"))
+    visits = pairs.join(home.withColumnRenamed("cid", "c"), "c").groupBy(F.col("q").alias("cid"), "space", "grp").agg(listed.alias("cands"))
+    enough = pairs.groupBy(F.col("q").alias("cid")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = home.join(enough, "cid", "left_anti").join(groups, "space").select("cid", "space", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), F.lit(None).cast("array<bigint>").alias("cands"))
+    visits = cut(visits.join(enough, "cid", "left_semi").unionByName(few))
     load = visits.groupBy("space", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     key = ["space", "grp", "block"]
     members = v.join(home.select("cid", "grp"), "cid").join(load, ["space", "grp"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "cid", "vec", "ids")
-    asked = visits.join(load, ["space", "grp"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*key, "cid").join(v.select("cid", "vec"), "cid")
+    asked = visits.join(load, ["space", "grp"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(*key, "cid", "cands").join(v.select("cid", "vec"), "cid")
     # columns of their own on either side: both descend from the same tables
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
     near = members.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(_exact(k, dim), "cid bigint, key bigint, sim double")
@@ -284,3 +337,22 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 768, tables: int
 def embedding_rows(embeddings: DataFrame) -> DataFrame:
     """Posting vectors as ``rows`` for :func:`nearest_neighbours`."""
     return embeddings.select(F.col("job_id").alias("key"), F.col("embedding_version").alias("space"), F.col("embedding_768").alias("vec"), F.col("embedded_at").alias("stamp"))
+
+
+def recall_against_exact(rows: DataFrame, found: DataFrame, k: int = 5, dim: int = 768, every: int = 50) -> DataFrame:
+    """``space, asked, wanted, hit, recall`` of ``found`` (key, other): the stated queries, keys divisible by ``every``, are
+    compared exactly with all rows of their space in blocks; ties count as :func:`nearest_neighbours` settles them."""
+    from ..operators.retrieval import dense_topk
+
+    good = usable_vectors(rows, dim)
+    spaces = [r[0] for r in good.select("space").distinct().collect()]
+    out = None
+    for s in spaces:
+        here = good.where(F.col("space") == s)
+        exact = dense_topk(here.where(F.col("key") % every == 0).select(F.col("key").alias("q"), "vec"), here.select(F.col("key").alias("id"), "vec"), k)
+        part = exact.select(F.lit(s).alias("space"), F.col("q").alias("key"), F.col("id").alias("other"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "space string, asked bigint, wanted bigint, hit bigint, recall double")
+    both = out.join(found.select("key", "other", F.lit(1).alias("hit")), ["key", "other"], "left")
+    return both.groupBy("space").agg(F.count_distinct("key").alias("asked"), F.count("*").alias("wanted"), F.count("hit").alias("hit"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))

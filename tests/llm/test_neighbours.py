@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from millrace.llm import neighbours as N
 from millrace.llm.neighbours import Tables, nearest_neighbours
 
 SCHEMA = "key long, space string, vec array<float>, stamp long, sim string"
@@ -67,3 +69,54 @@ def test_probes_are_distinct_and_grow(n):
     assert all(len({min(j, 2 * t.k - 1 - j) for j in a}) == len(a) for a in t.sets)
     keys = t.keys(np.eye(8, dtype=np.float32))
     assert keys.shape == (8, 8, 1 + t.probes) and all(len(set(k)) == len(k) for k in keys[0].tolist())
+
+
+def test_a_crowd_of_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=16)
+    rows = [(i, "a", (one + 1e-3 * rng.normal(size=16) if i % 2 else rng.normal(size=16)).tolist(), 1, "x") for i in range(1400)]
+    want, got = brute(rows, 5), answer(spark.createDataFrame(rows, SCHEMA))
+    crowd = [q for q in want if q % 2]
+    # rounded to six decimals most of the crowd ties, so the smallest keys win: only comparing the crowd whole finds them
+    assert sum(len(set(want[q]) & set(got.get(q, []))) for q in crowd) / (5 * len(crowd)) >= 0.95
+    assert all(len(got[q]) == 5 for q in want)
+
+
+def test_cells_keep_what_the_table_keeps():
+    rng = np.random.default_rng(5)
+    sk = [rng.bytes(32) for _ in range(60)]
+    key = np.uint32(7).tobytes()
+    homes = pd.DataFrame({"cid": range(60), "home": True, "keys": [key] * 60, "sketch": sk})
+    asks = homes.assign(home=False)
+    whole = N._cell_pairs(4, 5)(pd.concat([homes, asks]))
+    halves = [N._cell_pairs(4, 5)(pd.concat([homes[homes.cid % 2 == r], asks[asks.cid % 3 == c]])) for r in range(2) for c in range(3)]
+    pairs = lambda f: {(q, int(c)) for q, cs in zip(f.q, f.cs) for c in np.frombuffer(cs, np.int64)}
+    merged = N._merge(4, 5)(pd.concat(halves, ignore_index=True))
+    assert pairs(whole) <= set().union(*map(pairs, halves))
+    assert pairs(whole) == set(zip(merged.q, merged.c))
+    assert not merged.more.any()
+
+
+def test_more_candidates_than_listed_are_told():
+    n = N.CROWD + 40
+    lists = N._lists(*N._nearest(np.zeros(n, np.int64), np.arange(1, n + 1), np.full(n, 3, np.int16)))
+    assert lists.more.tolist() == [True] and len(lists.cs[0]) == 8 * N.CROWD
+    assert N._merge(4, 5)(lists).more.all()
+
+
+def test_only_candidates_are_compared_unless_none_are_listed():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(30, 8)).astype(np.float32)
+    members = pd.DataFrame({"cid": range(30), "vec": [x.tobytes() for x in v], "ids": [[i] for i in range(30)]})
+    queries = pd.DataFrame({"cid": [0, 1], "cands": [np.array([4, 9]), None], "vec": [v[0].tobytes(), v[1].tobytes()]})
+    got = N._exact(5, 8)(members, queries)
+    assert sorted(got[got.cid == 0].key) == [4, 9]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got[got.cid == 1].key.tolist() == [i for i in np.argsort(-(u @ u[1])) if i != 1][:6]
+
+
+def test_recall_is_counted(spark):
+    rows = spark.createDataFrame([(i, "a", [1.0, i / 100], 1, "x") for i in range(1, 101)], SCHEMA)
+    r = N.recall_against_exact(rows, nearest_neighbours(rows, 5, 2), 5, 2).collect()
+    assert [(x.asked, x.wanted) for x in r] == [(2, 10)] and r[0].recall >= 0.9
+    assert N.recall_against_exact(rows.limit(0), nearest_neighbours(rows.limit(0), 5, 2), 5, 2).count() == 0
