@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +124,8 @@ def _shared_windows(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": frame.doc_id.to_numpy()[o[edge]], "a": (begin + f[edge]).astype(np.int32), "b": (begin + f[last] + k).astype(np.int32)})
 
 
-def _by_bucket(batches: Iterator[pd.DataFrame], chars_at_once: int, whole: bool) -> Iterator[pd.DataFrame]:
-    """The sorted rows in chunks; with ``whole`` a bucket is never cut."""
+def _by_bucket(batches: Iterator[pd.DataFrame], chars_at_once: int) -> Iterator[pd.DataFrame]:
+    """The sorted rows in frames of about ``chars_at_once`` characters; a chunk of a bucket is never cut."""
     held: list[pd.DataFrame] = []
     size = 0
     for b in batches:
@@ -135,34 +136,58 @@ def _by_bucket(batches: Iterator[pd.DataFrame], chars_at_once: int, whole: bool)
         if size < chars_at_once:
             continue
         f = pd.concat(held, ignore_index=True)
-        if whole:
-            edge = int(np.searchsorted(f.mini.to_numpy(), f.mini.iloc[-1], "left"))
-            done, rest = f.iloc[:edge], f.iloc[edge:]
-        else:
-            done, rest = f, f.iloc[:0]
-        if len(done):
-            yield done.reset_index(drop=True)
-        held = [rest.reset_index(drop=True)] if len(rest) else []
-        size = int(rest.chars.str.len().sum()) if len(rest) else 0
+        edge = int(np.flatnonzero(((f.mini != f.mini.iloc[-1]) | (f.chunk != f.chunk.iloc[-1])).to_numpy()).max(initial=-1)) + 1
+        if edge:
+            yield f.iloc[:edge].reset_index(drop=True)
+        rest = f.iloc[edge:].reset_index(drop=True)
+        held, size = [rest], int(rest.chars.str.len().sum())
     if held:
         yield pd.concat(held, ignore_index=True)
 
 
-def shared_spans(documents: DataFrame, k: int = 600, m: int = 300, hot: int = 2000, bits: int = 1 << 22) -> DataFrame:
+#: Most bits of the map that drops buckets of one document at the source.
+MOST_BITS = 1 << 29
+
+
+def _bit_map(shared: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits in which those of all minimisers in ``shared`` are set, packed by the tasks in blocks."""
+    block = min(bits, 1 << 15)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(block, np.uint8)
+        on[(frame.bit % block).to_numpy()] = 1
+        return pd.DataFrame({"at": [int(frame.bit.iloc[0]) // block], "packed": [np.packbits(on, bitorder="little").tobytes()]})
+
+    at = shared.select(F.pmod(F.col("mini"), F.lit(bits)).alias("bit")).distinct()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in at.groupBy(F.floor(F.col("bit") / block)).applyInPandas(pack, "at bigint, packed binary").collect():
+        out[r["at"] * block // 8 : (r["at"] + 1) * block // 8] = np.frombuffer(r.packed, np.uint8)
+    return out
+
+
+def _digests(frame: pd.DataFrame, owner: np.ndarray, off: np.ndarray, k: int) -> list[bytes]:
+    chars = frame.chars.tolist()
+    return [hashlib.blake2b(chars[i][o : o + k].encode("utf-8", "surrogatepass"), digest_size=32).digest() for i, o in zip(owner.tolist(), off.tolist())]
+
+
+def shared_spans(documents: DataFrame, k: int = 600, m: int = 300, chunk: int = 2000) -> DataFrame:
     """``doc_id, a, b``: stretches of at least ``k`` code points that stand, exactly, in another document too; may overlap.
 
     Equal texts form one class, of which one member goes on; members of larger classes are shared from end to end.
     Consecutive windows with the same minimiser travel as one string to its bucket, where sorting the windows counts them
-    exactly.  Minimisers of half a window's length are shared only by texts that have that much in common.  Buckets of one class never leave their task: a bit map of ``bits`` bits, whose size is fixed, drops them at the
-    source (a false bit costs traffic, not correctness).  A bucket of more than ``hot`` strings is spread over tasks and its
-    windows are counted by their 128-bit hashes with map-side combine, so no bucket is gathered in one task.
+    exactly.  Minimisers of half a window's length are shared only by texts that have that much in common.  Buckets of one
+    class never leave their task: a bit map drops them at the source (a false bit costs traffic, not correctness); it has
+    sixteen bits a bucket, as far as ``MOST_BITS`` allow.
+
+    Every bucket is counted in chunks of about ``chunk`` strings, so none is gathered in one task.  Where a bucket has several
+    chunks, the 256-bit digests of its different windows are counted across them with map-side combine.
 
     Null texts and texts shorter than ``k`` have no stretch.
     """
-    from ..io import cut
+    from ..io import bounded, cut
 
     docs = documents.where(F.length("text") >= k).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.length("text").alias("n"))
-    keyed = docs.select("doc_id", "n", F.sha2("text", 256).alias("h"))
+    keyed = cut(docs.select("doc_id", "n", F.sha2("text", 256).alias("h")))
     many = keyed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).where("members > 1")
     copies = cut(keyed.join(many.select("h", "rep"), "h").select("doc_id", "n", "rep"))
     # only the further members of a class are taken out, so no text is shuffled where copies are few
@@ -174,50 +199,43 @@ def shared_spans(documents: DataFrame, k: int = 600, m: int = 300, hot: int = 20
 
     counts = reps.mapInPandas(minis, "mini bigint, doc_id bigint").groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("strings"))
     shared = cut(counts.where("lo <> hi").select("mini", "strings"))
-    bit = shared.select(F.pmod(F.col("mini"), F.lit(bits)).alias("bit"))
-    words = bit.select(F.shiftright("bit", 5).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit & 31 AS int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).collect()
-    table = np.zeros(bits // 32, np.uint32)
-    for r in words:
-        table[r.w] = r.x
-    held = documents.sparkSession.sparkContext.broadcast(table)
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * shared.count()).bit_length()))
+    held = documents.sparkSession.sparkContext.broadcast(_bit_map(shared, bits))
 
     def packed(batches):
         t = held.value
-        keep = lambda h: bool(int(t[(h % bits) >> 5]) >> (h % bits & 31) & 1)
+        keep = lambda h: bool(t[(h % bits) >> 3] >> (h % bits & 7) & 1)
         for b in batches:
             yield _packed(b, k, m, keep)
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowded, _ = bounded(shared.where(F.col("strings") > chunk).select("mini", F.ceil(F.col("strings") / chunk).cast("int").alias("chunks")), 1_000_000)
     strings = reps.mapInPandas(packed, "mini bigint, doc_id bigint, start int, chars string")
-    crowded = shared.where(F.col("strings") > hot).select("mini")
-    any_hot = bool(crowded.take(1))
-    usual = strings
-    if any_hot:
-        strings = cut(strings)
-        usual = strings.join(crowded, "mini", "left_anti")
+    strings = strings.join(crowded, "mini", "left").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("chunks", F.lit(1))).cast("int"))
 
     def count(batches):
-        for f in _by_bucket(batches, 2_000_000, True):
+        for f in _by_bucket(batches, 2_000_000):
             yield _shared_windows(f, k)
 
-    usual = usual.repartition(parts, "mini").sortWithinPartitions("mini")
-    out = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b")).unionByName(usual.mapInPandas(count, "doc_id bigint, a int, b int"))
-    if any_hot:
-
-        def ends(batches):
-            for f in _by_bucket(batches, 2_000_000, False):
-                h1, h2, owner, _, first = _sorted_windows(f, k)
-                doc = f.doc_id.to_numpy()[owner]
-                yield pd.DataFrame({"h1": h1[first].astype(np.int64), "h2": h2[first].astype(np.int64), "lo": np.minimum.reduceat(doc, first), "hi": np.maximum.reduceat(doc, first)})
-
-        def places(batches):
-            for f in _by_bucket(batches, 2_000_000, False):
-                h1, h2, owner, off, _ = _sorted_windows(f, k)
-                yield pd.DataFrame({"h1": h1.astype(np.int64), "h2": h2.astype(np.int64), "doc_id": f.doc_id.to_numpy()[owner], "a": (f.start.to_numpy()[owner] + off).astype(np.int32)})
-
-        spread = strings.join(crowded, "mini", "left_semi").repartition(parts)
-        two = spread.mapInPandas(ends, "h1 bigint, h2 bigint, lo bigint, hi bigint").groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h1", "h2")
-        hit = spread.mapInPandas(places, "h1 bigint, h2 bigint, doc_id bigint, a int").join(two, ["h1", "h2"], "left_semi")
+    def ends(batches):
+        for f in _by_bucket(batches, 2_000_000):
+            _, _, owner, off, first = _sorted_windows(f, k)
+            doc = f.doc_id.to_numpy()[owner]
+            yield pd.DataFrame({"digest": _digests(f, owner[first], off[first], k), "lo": np.minimum.reduceat(doc, first), "hi": np.maximum.reduceat(doc, first)})
+
+    def places(batches):
+        for f in _by_bucket(batches, 2_000_000):
+            _, _, owner, off, first = _sorted_windows(f, k)
+            once = _digests(f, owner[first], off[first], k)
+            digest = np.repeat(np.array(once, dtype=object), np.diff(np.r_[first, len(owner)]))
+            yield pd.DataFrame({"digest": digest, "doc_id": f.doc_id.to_numpy()[owner], "a": (f.start.to_numpy()[owner] + off).astype(np.int32)})
+
+    by_chunk = lambda s: s.repartition(parts, "mini", "chunk").sortWithinPartitions("mini", "chunk").select("mini", "chunk", "doc_id", "start", "chars")
+    out = copies.select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b")).unionByName(by_chunk(strings).mapInPandas(count, "doc_id bigint, a int, b int"))
+    if crowded.take(1):  # else there is nothing to count across
+        several = by_chunk(cut(strings.where("chunks IS NOT NULL")))
+        two = several.mapInPandas(ends, "digest binary, lo bigint, hi bigint").groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("digest")
+        hit = several.mapInPandas(places, "digest binary, doc_id bigint, a int").join(two, "digest", "left_semi")
         out = out.unionByName(hit.select("doc_id", "a", (F.col("a") + k).alias("b")))
     return out
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.spans import _hashes, _points, _sliding_min, shared_share, shared_spans, super_kmers
+from millrace.llm.spans import _bit_map, _hashes, _points, _sliding_min, shared_share, shared_spans, super_kmers
 
 
 def brute(docs, k):
@@ -33,11 +33,11 @@ def corpus(seed, n=60, alphabet="abcdefgh äß😀"):
     return docs + [(n, docs[0][1]), (n + 1, docs[0][1]), (n + 2, None), (n + 3, ""), (n + 4, "ab" * 200), (n + 5, "ab" * 150 + "c"), (n + 6, "a" * 300)]
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize("chunk", [2000, 3])
+def test_against_brute_force(spark, chunk):
     docs = corpus(1)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, mini string")
-    got = {r.doc_id: r.shared_chars for r in shared_share(shared_spans(df, k=50, m=9, hot=hot, bits=1 << 10)).collect()}
+    got = {r.doc_id: r.shared_chars for r in shared_share(shared_spans(df, k=50, m=9, chunk=chunk)).collect()}
     assert got == brute(docs, 50)
 
 
@@ -46,7 +46,7 @@ def test_a_third_share_one_passage(spark):
     same = "".join(rng.choice("abcdef") for _ in range(200))
     docs = [(i, "".join(rng.choice("abcdef") for _ in range(100)) + (same if i % 3 == 0 else "") + "".join(rng.choice("abcdef") for _ in range(100))) for i in range(90)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.shared_chars for r in shared_share(shared_spans(df, k=60, m=9, hot=10)).collect()}
+    got = {r.doc_id: r.shared_chars for r in shared_share(shared_spans(df, k=60, m=9, chunk=10)).collect()}
     assert got == brute(docs, 60)
 
 
@@ -76,3 +76,10 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 50, 97).astype(np.uint64)
     for w in (1, 2, 7, 97):
         assert _sliding_min(x, w).tolist() == [int(x[i : i + w].min()) for i in range(98 - w)]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 17])
+def test_bit_map(spark, bits):
+    minis = [0, 1, 5, 63, 64, 2**17 - 1, -1, -(2**63), 2**63 - 1]
+    got = _bit_map(spark.createDataFrame([(x,) for x in minis], "mini long"), bits)
+    assert {i for i in range(bits) if got[i >> 3] >> (i & 7) & 1} == {x % bits for x in minis}
