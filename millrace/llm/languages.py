@@ -77,6 +77,15 @@ class Network:
         r = np.random.default_rng(seed)
         return cls(r.normal(0, 0.3, (2, 256, 3 * hidden)).astype(np.float32), r.normal(0, 1 / hidden**0.5, (2, hidden, 3 * hidden)).astype(np.float32), r.normal(0, 0.1, (2 * hidden, labels)).astype(np.float32), np.zeros(labels, np.float32))
 
+    def save(self, path: str) -> None:
+        """Store the weights, so that later runs need not train."""
+        np.savez(path, wx=self.wx, u=self.u, wo=self.wo, bo=self.bo)
+
+    @classmethod
+    def load(cls, path: str) -> Network:
+        with np.load(path) as z:
+            return cls(z["wx"], z["u"], z["wo"], z["bo"])
+
     def forward(self, x: np.ndarray, keep: bool = False):
         """Log probabilities (batch, time, labels) of byte windows (batch, time); with ``keep`` also what training needs."""
         n, t = x.shape
@@ -195,7 +204,7 @@ def train(samples: list[tuple[str, str]], steps: int = 320, width: int = 64, bat
     by, known = grouped(data)
     for step in range(steps):
         if step == steps // 2:
-            sure = [d for d, lp in zip(data, _pooled(net, [bytes(d[0][:400]).decode("utf-8", "replace") for d in data])) if lp.argmax() == d[2]]
+            sure = [d for d, lp in zip(data, _pooled(net, [bytes(d[0]).decode("utf-8", "replace") for d in data])) if lp.argmax() == d[2]]
             by, known = grouped(sure or data)
         x, y = np.empty((batch, width), np.uint8), np.empty((batch, width), np.int64)
         for i in range(batch):
@@ -221,18 +230,21 @@ def _pooled(net: Network, texts: list[str]) -> np.ndarray:
     return np.stack([lp.mean(0) if len(lp) else np.full(len(CODES), -np.log(len(CODES)), np.float32) for lp in net.label(texts)])
 
 
-def passages(net: Network, texts: list[str | None], surer: float = 0.5) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its passages ``(start, end, code, confidence)``: runs of sentences of one language.
+def passages(net: Network, texts: list[str | None], surer: float = 0.5) -> list[tuple[list[tuple[int, int, str, float]], str, float]]:
+    """For each text its passages ``(start, end, code, confidence)``, runs of sentences of one language, and the whole text's
+    language and confidence.
 
-    A sentence's evidence is the mean log probability of its positions.  It differs from the text's main language only if
-    that is better by ``surer`` a position; the confidence is the mean probability of the passage's language.
+    A sentence's evidence is the mean log probability of its positions.  It differs from the text's main language, that of most
+    positions in sentences, only if that is better by ``surer`` a position; the confidence is the mean probability of the
+    passage's language.  The whole text's language is that of the greatest mean log probability over all its positions, its
+    confidence the mean probability of that language over all of them.
     """
     clean = [plain(t) for t in texts]
     out = []
     for text, lp in zip(clean, net.label(clean)):
         spans = sentences(text)
         if not spans or not len(lp):
-            out.append([])
+            out.append(([], "", 0.0))
             continue
         at = np.r_[0, np.cumsum([len(c.lower().encode("utf-8", "replace")) for c in text])]
         pieces = [lp[at[s] : at[e]] for s, e in spans]
@@ -248,27 +260,32 @@ def passages(net: Network, texts: list[str | None], surer: float = 0.5) -> list[
                 runs[-1][3].append(p)
             else:
                 runs.append([s, e, y, [p]])
-        out.append([(s, e, CODES[y], float(np.exp(np.concatenate(ps)[:, y]).mean())) for s, e, y, ps in runs])
+        whole = int(lp.mean(0).argmax())
+        found = [(s, e, CODES[y], float(np.exp(np.concatenate(ps)[:, y]).mean())) for s, e, y, ps in runs]
+        out.append((found, CODES[whole], float(np.exp(lp[:, whole]).mean())))
     return out
 
 
-def labelled_sample(docs: DataFrame, per_language: int = 250, most_chars: int = 3000) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each labelled language, chosen by hash; their first ``most_chars`` characters train.
+def labelled_sample(docs: DataFrame, per_language: int = 250) -> list[tuple[str, str]]:
+    """At most ``per_language`` texts of each labelled language, chosen by hash, whole.
 
     ``docs``: text, label.  The bound is on training only; every text is labelled afterwards.
     """
-    w = Window.partitionBy("code").orderBy(F.xxhash64("text"))
+    w = Window.partitionBy("code").orderBy("h")
     rows = docs.where("text IS NOT NULL").withColumn("code", language_code(F.col("label"))).where(F.col("code").isin(*CODES) & (F.length("text") >= 100))
-    picked = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
-    return sorted((r.t, r.code) for r in picked.select(F.substring("text", 1, most_chars).alias("t"), "code").collect())
+    # each language's rows are thinned out in their tasks first, so that no language is sorted in one
+    spread = rows.select("text", "code", F.xxhash64("text").alias("h")).withColumn("s", F.pmod("h", F.lit(64)))
+    few = spread.withColumn("r", F.row_number().over(Window.partitionBy("code", "s").orderBy("h"))).where(F.col("r") <= per_language).drop("r")
+    picked = few.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
+    return sorted((r.text, r.code) for r in picked.select("text", "code").collect())
 
 
 def detect_languages(docs: DataFrame, net: Network) -> DataFrame:
     """``key, start, end, language, confidence, doc_language, doc_confidence``: one row per passage of each text.
 
     ``docs``: key, text.  Offsets are into the text with entities decoded and tags turned into line breaks.  The document's
-    language is that of most of its characters, its confidence the mean over all positions.  Null, empty and blank texts
-    give no row; repeated texts each count under their own key.
+    language and confidence pool the probabilities of all its positions.  Null, empty and blank texts give no row; repeated
+    texts each count under their own key.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -276,29 +293,22 @@ def detect_languages(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             for s in range(0, len(b), 256):
                 part = b.iloc[s : s + 256]
-                rows = []
-                for key, found in zip(part.key, passages(held.value, part.text.tolist())):
-                    size: dict[str, float] = {}
-                    sure: dict[str, float] = {}
-                    for x, y, code, conf in found:
-                        size[code] = size.get(code, 0) + y - x
-                        sure[code] = sure.get(code, 0) + conf * (y - x)
-                    if found:
-                        top = max(size, key=size.get)
-                        total = sum(size.values())
-                        rows.extend((key, x, y, code, conf, top, sure[top] / total) for x, y, code, conf in found)
+                rows = [(key, *p, whole, sure) for key, (found, whole, sure) in zip(part.key, passages(held.value, part.text.tolist())) for p in found]
                 yield pd.DataFrame(rows, columns=["key", "start", "end", "language", "confidence", "doc_language", "doc_confidence"])
 
     docs = docs.where("text IS NOT NULL").select("key", "text")
     return docs.mapInPandas(run, "key bigint, start int, end int, language string, confidence double, doc_language string, doc_confidence double")
 
 
-def posting_languages(jobs: DataFrame, facets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Passages of all descriptions, and the current label of each posting (null if it has no facet row)."""
+def posting_languages(jobs: DataFrame, facets: DataFrame, net: Network | None = None) -> tuple[DataFrame, DataFrame]:
+    """Passages of all descriptions, and the current label of each posting (null if it has no facet row).
+
+    Without ``net`` one is trained on the labelled descriptions; a stored one (:meth:`Network.load`) is used as it is.
+    """
     current = current_facets(facets.select("job_id", "derive_version", "derived_at", "language"))
     both = jobs.where("description IS NOT NULL").select(F.col("id").alias("key"), F.col("description").alias("text"))
     labels = current.select(F.col("job_id").alias("key"), F.col("language").alias("label"))
-    net = train(labelled_sample(both.join(labels, "key").select("text", "label")))
+    net = net or train(labelled_sample(both.join(labels, "key").select("text", "label")))
     # evenly over the tasks, as labelling is what costs
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return detect_languages(both.repartition(parts, "key"), net), labels

@@ -53,24 +53,26 @@ def test_held_out_texts(net):
     rng = random.Random(2)
     texts = [(_text(rng, c), c) for c in L.CODES for _ in range(10)]
     got = L.passages(net, [t for t, _ in texts])
-    assert np.mean([{p[2] for p in ps} == {c} for ps, (_, c) in zip(got, texts)]) >= 0.95
-    assert min(p[3] for ps in got for p in ps) > 0.4
+    assert np.mean([{p[2] for p in ps} == {c} and whole == c for (ps, whole, _), (_, c) in zip(got, texts)]) >= 0.95
+    assert min(p[3] for ps, _, _ in got for p in ps) > 0.4
 
 
 def test_mixed_text_and_capitals(net):
     rng = random.Random(3)
     a, b = _text(rng, "de", 4), _text(rng, "en", 4)
     got = L.passages(net, [f"{a}\n{b}", a.upper(), f"<p>{a}</p><p>{b}</p>"])
-    assert [p[2] for p in got[0]] == ["de", "en"]
-    assert {p[2] for p in got[1]} == {"de"}
-    assert [p[2] for p in got[2]] == ["de", "en"]
+    assert [p[2] for p in got[0][0]] == ["de", "en"]
+    assert {p[2] for p in got[1][0]} == {"de"}
+    assert [p[2] for p in got[2][0]] == ["de", "en"]
+    # of two languages by halves the whole text is sure of neither
+    assert got[0][1] in ("de", "en") and got[0][2] < got[1][2]
 
 
 def test_edges(net):
-    assert L.passages(net, [None, "", "  \n", "<p></p>"]) == [[], [], [], []]
+    assert L.passages(net, [None, "", "  \n", "<p></p>"]) == [([], "", 0.0)] * 4
     long = (BITS["nl"][0] + ". ") * 3000
-    (got,) = L.passages(net, [long])
-    assert {p[2] for p in got} == {"nl"} and got[0][0] == 0 and got[-1][1] == len(long)
+    ((got, whole, _),) = L.passages(net, [long])
+    assert whole == "nl" and {p[2] for p in got} == {"nl"} and got[0][0] == 0 and got[-1][1] == len(long)
     assert L.sentences("GmbH & Co. KG sucht ab sofort jemanden für das Team. Ja.") == [(0, 56)]
 
 
@@ -82,3 +84,15 @@ def test_operator_and_labels(spark, net):
     got = {tuple(r) for r in L.mislabelled(found, labels).collect()}
     assert got == {(2, "en"), (3, "fr"), (3, "it"), (6, "de")}
     assert L.detect_languages(spark.createDataFrame([], "key long, text string"), net).count() == 0
+
+
+def test_stored_network(net, tmp_path):
+    net.save(str(tmp_path / "n.npz"))
+    again = L.Network.load(str(tmp_path / "n.npz"))
+    assert L.passages(again, [_text(random.Random(5), "es")]) == L.passages(net, [_text(random.Random(5), "es")])
+
+
+def test_sample_is_bounded_and_whole(spark):
+    rows = [(BITS["de"][i % 4] + f" {i} " + "x" * 5000, "Deutsch") for i in range(40)] + [("zu kurz", "de"), (None, "de"), ("x" * 200, "klingon")]
+    got = L.labelled_sample(spark.createDataFrame(rows, "text string, label string"), 7)
+    assert len(got) == 7 and all(c == "de" and len(t) > 5000 for t, c in got)
