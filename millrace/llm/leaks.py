@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -27,26 +28,59 @@ class _Marks(dict):
         return self[c]
 
 
-_MARKS = _Marks()
+class _Invisible(dict):
+    """Translation that drops invisible characters alone."""
+
+    def __missing__(self, c: int):
+        self[c] = None if unicodedata.category(chr(c)) == "Cf" else c
+        return self[c]
+
+
+_MARKS, _INVISIBLE = _Marks(), _Invisible()
 _DIGRAPH = re.compile("([aou])e+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text as they are compared: entities decoded, markup and invisible characters gone, case, accents and
-    umlaut spelling folded (ä, ae and a are one, so are ß and ss).  Null and empty texts have none."""
+_UMLAUTS = {ord("ä"): "ae", ord("ö"): "oe", ord("ü"): "ue", ord("Ä"): "ae", ord("Ö"): "oe", ord("Ü"): "ue"}
+
+
+def _bare(text: str | None) -> str:
+    """A text with entities decoded and markup gone."""
     if not text:
-        return []
+        return ""
     for _ in range(2):
         if "&" in text:
             text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(lambda m: "" if (m[1] or "").lower() in _INLINE else " ", text)
+    return text
+
+
+def _folded(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     text = text.casefold()
+    return text if text.isascii() else text.translate(_FOLD)
+
+
+def word_forms(text: str | None) -> list[list[str]]:
+    """The words of a text as they are compared, in each way its umlauts may be written: entities decoded, markup and invisible
+    characters gone, case and accents folded, ß as ss; ä as a and, in a second list if that differs, as ae.  Two texts agree
+    where one of the lists of either does.  Null and empty texts have none."""
+    text = _bare(text)
+    if not text:
+        return []
+    forms = [_WORD.findall(_folded(text))]
     if not text.isascii():
-        text = text.translate(_FOLD)
-    return _WORD.findall(_DIGRAPH.sub(r"\1", text))
+        whole = unicodedata.normalize("NFC", text.translate(_INVISIBLE))
+        other = whole.translate(_UMLAUTS)
+        if other != whole:
+            forms.append(_WORD.findall(_folded(other)))
+    return [f for f in forms if f]
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text as keys: folded as in :func:`word_forms`, with ä, ae and a all one."""
+    return _WORD.findall(_DIGRAPH.sub(r"\1", _folded(_bare(text))))
 
 
 def symbols(words: list[str]) -> np.ndarray:
@@ -63,35 +97,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WalkEmbedding:
-    """Random-walk embedding of word windows into strings of three times their length, and bit samples of those.
+    """Random-walk embeddings of word windows into strings of up to three times their length, and a bit sample of each.
 
-    At step j the walk emits the symbol it stands on and moves on by a random bit of (j, symbol); windows within edit
-    distance e come within Hamming distance O(e²).  ``keys`` samples ``sample`` steps in each of ``repeats`` repetitions.
+    At step j a walk emits the symbol it stands on and moves on by a random bit of (j, symbol); windows within edit distance e
+    come within Hamming distance O(e²).  Each repetition has a walk of its own, so that a pair whose walks part in one may stay
+    together in another, and samples ``sample`` of its steps.
     """
 
     def __init__(self, window: int, repeats: int, sample: int, seed: int = 7):
-        self.window, self.length = window, 3 * window
+        self.window = window
         rng = np.random.default_rng(seed)
-        self.salt = rng.integers(1, 2**63, self.length, dtype=np.uint64)
+        self.salts = [rng.integers(1, 2**63, 3 * window, dtype=np.uint64) for _ in range(repeats)]
         # early steps carry the window's symbols, the last third mostly padding
         self.picks = [np.sort(rng.choice(2 * window, sample, replace=False)) for _ in range(repeats)]
         self.weights = [rng.integers(1, 2**63, sample, dtype=np.uint64) | np.uint64(1) for _ in range(repeats)]
 
     def keys(self, syms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(repeats, len(starts)) bucket keys of the windows that begin at ``starts``."""
-        at = np.zeros(len(starts), np.int64)
         out = np.zeros((len(self.picks), len(starts)), np.uint64)
-        last = max((int(p[-1]) for p in self.picks), default=-1)
         pad = np.uint64(0x9E3779B97F4A7C15)
-        for j in range(last + 1):
-            inside = at < self.window
-            s = np.where(inside, syms[np.minimum(starts + at, len(syms) - 1)], pad)
-            for r, p in enumerate(self.picks):
-                k = np.searchsorted(p, j)
-                if k < len(p) and p[k] == j:
-                    out[r] += _mix(s + np.uint64(j)) * self.weights[r][k]
-            at = at + (_mix(s ^ self.salt[j]) & np.uint64(1)).astype(np.int64)
-        return np.stack([_mix(out[r] + np.uint64(r)) for r in range(len(out))]) if len(out) else out
+        for r, (salt, picks, weights) in enumerate(zip(self.salts, self.picks, self.weights)):
+            at = np.zeros(len(starts), np.int64)
+            k = 0
+            for j in range(int(picks[-1]) + 1):
+                s = np.where(at < self.window, syms[np.minimum(starts + at, len(syms) - 1)], pad)
+                if picks[k] == j:
+                    out[r] += _mix(s + np.uint64(j)) * weights[k]
+                    k += 1
+                at = at + (_mix(s ^ salt[j]) & np.uint64(1)).astype(np.int64)
+            out[r] = _mix(out[r] + np.uint64(r))
+        return out
+
+
+@functools.cache
+def repetitions(window: int, max_edits: int, sample: int, target: float, pairs: int = 300, walks: int = 256) -> int:
+    """Repetitions after which a window and the same with ``max_edits`` edits have shared a sample with probability ``target``.
+
+    Worked out on ``pairs`` random windows, half with substitutions, half with words dropped and inserted, by ``walks`` walks:
+    pairs differ in how often their walks stay together, so the mean over pairs of what is missed is what counts.
+    """
+    if not max_edits:
+        return 1
+    rng = np.random.default_rng(13)
+    left, right = [], []
+    for n in range(pairs):
+        a = rng.integers(1, 2**63, window + max_edits, dtype=np.uint64)
+        b = a.copy()
+        if n % 2:
+            for p in rng.choice(window, max_edits, replace=False):
+                b[p] = rng.integers(1, 2**63, dtype=np.uint64)
+        else:
+            for e in range(max_edits):
+                p = int(rng.integers(window))
+                b = np.delete(b, p) if e % 2 == 0 else np.insert(b, p, rng.integers(1, 2**63, dtype=np.uint64))
+        left.append(a[:window]), right.append(np.resize(b, window))
+    walk = WalkEmbedding(window, walks, sample, seed=17)
+    at = np.arange(pairs) * window
+    p = (walk.keys(np.concatenate(left), at) == walk.keys(np.concatenate(right), at)).mean(0)
+    for r in range(1, 4 * walks):
+        if 1 - ((1 - p) ** r).mean() >= target:
+            return r
+    raise ValueError("no number of repetitions reaches the target; take fewer samples or the exact way (target_recall=1)")
 
 
 def _edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -135,18 +201,24 @@ def _seeds(syms: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray
     return starts, keys
 
 
+def _forms(texts: list[str | None]) -> tuple[np.ndarray, list[list[str]]]:
+    """The word lists of some texts, and which text each belongs to."""
+    pairs = [(i, f) for i, t in enumerate(texts) for f in word_forms(t)]
+    return np.array([i for i, _ in pairs], np.int64), [f for _, f in pairs]
+
+
 class _Index:
     """The items' windows by key, in every repetition; with edits, the items' runs of words that edits must leave whole."""
 
-    def __init__(self, ids: list[str], texts: list[str], walk: WalkEmbedding, max_edits: int = 0):
-        lists = [words_of(t) for t in texts]
+    def __init__(self, ids: list[str], texts: list[str], walk: WalkEmbedding, max_edits: int = 0, seeds: bool = False):
+        owners, lists = _forms(texts)
         self.ids, self.words = ids, [w for l in lists for w in l]
         self.syms = symbols(self.words)
         lengths = np.array([len(l) for l in lists], np.int64)
-        self.owner = np.repeat(np.arange(len(ids)), lengths)
+        self.owner = np.repeat(owners, lengths)
         self.starts = _windows(lengths, walk.window)
         self.tables = []
-        if max_edits:
+        if seeds:
             # the words that stay are in at most one more run than there are edits, so one run has this length
             self.size = max(1, -(-(walk.window - max_edits) // (max_edits + 1)))
             starts, keys = _seeds(self.syms, lengths, self.size)
@@ -205,21 +277,21 @@ def _seeded(index: _Index, window: int, syms: np.ndarray, lengths: np.ndarray, w
         yield np.stack([cell // len(index.whole), cell % len(index.whole)])
 
 
-def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[str | None], max_edits: int) -> pd.DataFrame:
-    lists = [words_of(t) for t in texts]
+def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[str | None], max_edits: int, seeds: bool) -> pd.DataFrame:
+    owners, lists = _forms(texts)
     lengths = np.array([len(l) for l in lists], np.int64)
     words = [w for l in lists for w in l]
     starts = _windows(lengths, walk.window)
     syms = symbols(words)
     blocks: Iterator[np.ndarray] = iter(())
     if len(starts) and len(index.starts):
-        if max_edits:
+        if seeds:
             whole = np.zeros(len(syms), bool)
             whole[starts] = True
             blocks = _seeded(index, walk.window, syms, lengths, whole, max_edits)
         else:
             blocks = _sampled(index, walk, syms, starts)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(owners, lengths)
     span = np.arange(walk.window)
     rows = []
     for d, i in blocks:
@@ -236,42 +308,49 @@ def _match(index: _Index, walk: WalkEmbedding, doc_ids: np.ndarray, texts: list[
     return pd.DataFrame({"doc_id": doc_ids[best.doc.to_numpy()], "item_id": pd.Series([index.ids[k] for k in best["item"]], dtype=object), "edits": best.edits.astype("int32")})
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, repeats: int = 4, sample: int = 6, batch_items: int = 4000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, target_recall: float = 0.98, sample: int = 6, batch_items: int = 4000) -> DataFrame:
     """``doc_id, item_id, edits``: documents with a passage of ``window`` words of an item, with at most ``max_edits`` words edited.
 
-    ``documents``: doc_id, text; ``items``: item_id, text.  With ``max_edits`` 0 every window of every text is embedded by a
-    random walk and sampled in ``repeats`` repetitions; windows that share a sample with an item's window are verified
-    exactly.  Equal windows always meet, so nothing is lost.  With edits, samples would lose pairs whose walks diverge:
-    instead, all windows that share a run of words so long that the edits cannot break every one are verified, so nothing
-    is lost either, and ``repeats`` and ``sample`` have no effect.  Edits are counted between windows of equal length.
+    ``documents``: doc_id, text; ``items``: item_id, text.  Every window of every text is embedded by a random walk and sampled,
+    in as many repetitions, each with a walk of its own, as ``target_recall`` takes (:func:`repetitions`); windows that share a
+    sample with an item's window are verified exactly.  Equal windows always meet, so without edits one repetition loses
+    nothing.  With ``target_recall`` 1 and edits all windows that share a run of words so long that the edits cannot break
+    every one are verified instead, so nothing is lost either.  Edits are counted between windows of equal length.
 
     The corpus is read in one pass without a shuffle.  Items travel to the tasks ``batch_items`` at a time, which bounds what
-    is sent; more items mean more passes.  Null and empty texts match nothing, texts shorter than a window neither;
-    repeated texts each count under their own id; extra columns are ignored.
+    is sent and held; more items mean more passes, each finished and written before the next one's items are fetched.  Null
+    and empty texts match nothing, texts shorter than a window neither; repeated texts each count under their own id; extra
+    columns are ignored.
     """
+    from ..io import cut
+
     spark = documents.sparkSession
+    seeds = bool(max_edits) and target_recall >= 1
+    repeats = 0 if seeds else repetitions(window, max_edits, sample, target_recall)
     items = items.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates(["item_id"])
-    chosen = items.limit(batch_items + 1).collect()
-    slices = [chosen]
-    if len(chosen) > batch_items:
-        n = -(-items.count() // batch_items) * 2
-        slices = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect() for k in range(n)]
     docs = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    n = items.count()
+    # parts by hash, with room for their differing sizes
+    parts = 1 if n <= batch_items else -(-2 * n // batch_items)
     out = None
-    for rows in slices:
+    for k in range(parts):
+        rows = (items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items).collect()
         held = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             walk = WalkEmbedding(window, repeats, sample)
-            index = _Index(*held.value, walk, max_edits)
+            index = _Index(*held.value, walk, max_edits, seeds)
             for b in batches:
                 for a in range(0, len(b), 500):
                     part = b.iloc[a : a + 500]
-                    yield _match(index, walk, part.doc_id.to_numpy(), part.text.tolist(), max_edits)
+                    yield _match(index, walk, part.doc_id.to_numpy(), part.text.tolist(), max_edits, seeds)
 
         hits = docs.mapInPandas(scan, "doc_id bigint, item_id string, edits int")
+        if parts > 1:
+            hits = cut(hits)
+            held.unpersist()
         out = hits if out is None else out.unionByName(hits)
-    return out if len(slices) == 1 else out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return out
 
 
 def needle_texts(needles: DataFrame) -> DataFrame:

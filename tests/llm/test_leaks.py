@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from millrace.llm.leaks import find_leaks, needle_texts, words_of
+from millrace.llm.leaks import WalkEmbedding, find_leaks, needle_texts, repetitions, word_forms, words_of
 
 WORDS = [f"wort{i}" for i in range(300)]
 
@@ -18,10 +19,31 @@ WORDS = [f"wort{i}" for i in range(300)]
 )
 def test_words(a, b):
     assert words_of(a) == words_of(b)
+    assert any(x == y for x in word_forms(a) for y in word_forms(b))
+
+
+def test_words_that_only_look_alike():
+    assert word_forms("does") != word_forms("dos") and word_forms("Israel") != word_forms("Isral")
+    assert word_forms("Müll") == [["mull"], ["muell"]] and word_forms("Mull") == [["mull"]]
+    assert word_forms("Mu\u0308ll") == word_forms("Mü\u00adll") == word_forms("Müll")
+
+
+def test_repetitions_reach_their_target():
+    assert repetitions(12, 0, 6, 0.98) == 1
+    assert repetitions(24, 1, 6, 0.9) < repetitions(24, 2, 6, 0.9) < repetitions(24, 2, 6, 0.98)
+    r = repetitions(24, 2, 6, 0.98)
+    rng = np.random.default_rng(0)
+    a = rng.integers(1, 2**63, (1000, 24), dtype=np.uint64)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(24, 2, replace=False)] = rng.integers(1, 2**63, 2, dtype=np.uint64)
+    walk, at = WalkEmbedding(24, r, 6), np.arange(1000) * 24
+    assert (walk.keys(a.ravel(), at) == walk.keys(b.ravel(), at)).any(0).mean() >= 0.95
 
 
 def test_no_words():
     assert words_of(None) == words_of("") == words_of("--- ... <br>") == []
+    assert word_forms(None) == word_forms("") == word_forms("--- ... <br>") == []
 
 
 def test_against_brute_force(spark):
@@ -56,7 +78,8 @@ def test_edited_passages(spark):
         docs.append((d, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
-    assert find_leaks(df, it, window=24, max_edits=2, repeats=8).count() >= 36
+    assert find_leaks(df, it, window=24, max_edits=2, target_recall=1.0).count() == 40
+    assert find_leaks(df, it, window=24, max_edits=2, target_recall=0.98).count() >= 39
 
 
 def test_edited_passages_against_brute_force(spark):
@@ -90,8 +113,10 @@ def test_edited_passages_against_brute_force(spark):
                 want[d, k] = e
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
     it = spark.createDataFrame([(k, " ".join(s)) for k, s in items.items()], "item_id string, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in find_leaks(df, it, window=24, max_edits=2, repeats=8).collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in find_leaks(df, it, window=24, max_edits=2, target_recall=1.0).collect()}
     assert got == want and {0, 1, 2} <= set(want.values())
+    sampled = {(r.doc_id, r.item_id): r.edits for r in find_leaks(df, it, window=24, max_edits=2, target_recall=0.98).collect()}
+    assert len(sampled.keys() & want.keys()) >= 0.95 * len(want) and sampled.keys() <= want.keys()
 
 
 def test_needle_without_detail(spark):
