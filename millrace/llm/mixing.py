@@ -20,10 +20,6 @@ LANGUAGES = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"), "es": ("es", "spa", "spanish", "español", "espanol"), "it": ("it", "ita", "italian", "italiano"),
 }
 
-#: Most leaves a plan's tree may have; the tree is worked out on the driver.
-MAX_LEAVES = 200_000
-
-
 def language_code(col: Column) -> Column:
     """The code of a language written as code, name or locale; null for anything else."""
     base = F.regexp_replace(F.lower(F.trim(col)), r"[-_].*$", "")
@@ -92,52 +88,47 @@ def budget_tree(leaves: list[dict], size: float) -> list[dict]:
     return leaves
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, buckets: int = 256, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def _plan_leaves(leaves: pd.DataFrame) -> pd.DataFrame:
+    """What one plan takes of each of its leaves: whole epochs, and tokens of one more."""
+    rows = [{"domain": x.domain, "language": x.language, "source": x.source, "weight": x.weight, "cap": float(x.held) * x.max_repeats, "held": int(x.held), "most": int(x.max_repeats)} for x in leaves.itertuples()]
+    out = []
+    for x in budget_tree(rows, float(leaves["size"].iloc[0])) if rows else []:
+        if x["held"]:
+            whole = min(int(x["budget"] // x["held"]), x["most"])
+            rest = int(x["budget"] - whole * x["held"] + 0.5) if whole < x["most"] else 0
+            if whole or rest:
+                out.append((leaves.plan.iloc[0], x["domain"], x["language"], x["source"], whole, rest))
+    return pd.DataFrame(out, columns=["plan", "domain", "language", "source", "whole", "rest"])
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, bucket_rows: int = 50_000, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The selection and the report of each plan.
 
     ``documents``: doc_id, text, source, lang, kind; ``targets``: plan, source, target_share, max_repeats, corpus_fraction.
     Selection: ``plan, doc_id, source, copies, tokens`` (``copies`` ≥ 1).  Report: ``plan, source, target_share, actual_share,
-    tokens, available_tokens, max_copies, shortage``; shares are of the plan's wanted size.
+    tokens, available_tokens, max_copies, shortage``; the actual shares are of all tokens the plan reached and sum to one.
 
-    The tree is domain (kind), language, source; a source's weight divides over its leaves by their tokens.  A leaf is
-    taken in whole epochs, then as a prefix of one more seeded order while tokens last; the prefix sums run over
-    ``buckets`` hash ranges, so no source is sorted in one task.  A source without documents leaves its share to others;
-    documents whose source is in no plan, and null or empty texts, are not taken.  A null ``max_repeats`` counts as 1.
+    The tree is domain (kind), language, source; a source's weight divides over its leaves by their tokens.  A plan's tree, one
+    row a leaf, is worked out in one task.  A leaf is taken in whole epochs, then as a prefix of one more seeded order while
+    tokens last; the prefix sums run over hash ranges of about ``bucket_rows`` documents, so no source is sorted in one task.
+    A source without documents leaves its share to others; documents whose source is in no plan, and null or empty texts, are
+    not taken.  A null ``max_repeats`` counts as 1.
     """
-    from ..io import cut
+    from ..io import bounded, cut
 
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.coalesce("source", F.lit(""))).alias("source"), F.coalesce(language_code(F.col("lang")), F.lit("und")).alias("language"), F.coalesce("kind", F.lit("")).alias("domain"), token_counts(F.col("text"), tokenizer).alias("tokens"))
     docs = cut(docs.where("tokens > 0"))
-    held = docs.groupBy("domain", "language", "source").agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    plans = targets.select("plan", source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), "corpus_fraction").limit(MAX_LEAVES + 1).collect()
-    if max(len(held), len(plans)) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves or targets")
-    everything = sum(r.tokens for r in held)
-    of_source = defaultdict(list)
-    for r in held:
-        of_source[r.source].append(r)
-    leaf_rows, report_rows = [], []
-    for plan in sorted({p.plan for p in plans}):
-        rows = [p for p in plans if p.plan == plan]
-        size = float(rows[0].corpus_fraction) * everything
-        leaves = []
-        for p in rows:
-            own = of_source.get(p.source, [])
-            all_of = sum(r.tokens for r in own)
-            report_rows.append((plan, p.source, float(p.target_share), int(all_of), int(p.max_repeats), size))
-            for r in own:
-                leaves.append({"domain": r.domain, "language": r.language, "source": r.source, "weight": float(p.target_share) * r.tokens / all_of, "cap": float(r.tokens) * p.max_repeats, "held": r.tokens, "most": p.max_repeats})
-            if not own:
-                leaves.append({"domain": "", "language": "", "source": p.source, "weight": float(p.target_share), "cap": 0.0, "held": 0, "most": p.max_repeats})
-        for x in budget_tree(leaves, size):
-            if x["held"]:
-                whole = min(int(x["budget"] // x["held"]), int(x["most"]))
-                rest = int(x["budget"] - whole * x["held"] + 0.5) if whole < x["most"] else 0
-                if whole or rest:
-                    leaf_rows.append((plan, x["domain"], x["language"], x["source"], whole, rest))
-    leaf = spark.createDataFrame(leaf_rows, "plan string, domain string, language string, source string, whole int, rest bigint")
-    d = docs.join(F.broadcast(leaf), ["domain", "language", "source"])
+    buckets = max(64, -(-docs.count() // bucket_rows))
+    held = cut(docs.groupBy("domain", "language", "source").agg(F.sum("tokens").alias("held")))
+    of_source = held.groupBy("source").agg(F.sum("held").alias("available_tokens"))
+    everything = held.agg(F.sum("held").alias("everything"))
+    plans = targets.select("plan", source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), "corpus_fraction")
+    # one row beside each row
+    goal = plans.crossJoin(everything).join(of_source, "source", "left").select("plan", "source", F.col("target_share").cast("double").alias("target_share"), F.coalesce("available_tokens", F.lit(0)).cast("bigint").alias("available_tokens"), F.col("max_repeats").cast("int").alias("max_repeats"), (F.col("corpus_fraction").cast("double") * F.coalesce("everything", F.lit(0))).alias("size"))
+    weight = F.when(F.col("available_tokens") > 0, F.col("target_share") * F.col("held") / F.col("available_tokens")).otherwise(F.col("target_share"))
+    leaves = goal.join(held, "source", "left").select("plan", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("language", F.lit("")).alias("language"), "source", weight.alias("weight"), F.coalesce("held", F.lit(0)).alias("held"), "max_repeats", "size")
+    leaf = cut(leaves.groupBy("plan").applyInPandas(_plan_leaves, "plan string, domain string, language string, source string, whole int, rest bigint"))
+    d = docs.join(bounded(leaf, 200_000)[0], ["domain", "language", "source"])
     # the order of the epoch after the whole ones; another seed for each plan and epoch
     d = d.withColumn("o", F.xxhash64(F.lit(seed), "plan", "whole", "doc_id"))
     d = d.withColumn("bucket", F.floor(F.col("o").cast("double") / 2.0**64 * buckets + buckets / 2).cast("int"))
@@ -149,6 +140,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, buckets: int =
     taken = d.where("whole > 0").select("plan", "doc_id", "source", F.col("whole").alias("copies"), "tokens").unionByName(part.select("plan", "doc_id", "source", F.lit(1).alias("copies"), "tokens"))
     selection = cut(taken.groupBy("plan", "doc_id", "source").agg(F.sum("copies").cast("int").alias("copies"), F.max("tokens").alias("tokens")))
     got = selection.groupBy("plan", "source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.max("copies").alias("max_copies"))
-    goal = spark.createDataFrame(report_rows, "plan string, source string, target_share double, available_tokens bigint, max_repeats int, size double")
-    report = goal.join(got, ["plan", "source"], "left").select("plan", "source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("size"), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "available_tokens", F.coalesce("max_copies", F.lit(0)).alias("max_copies"), (F.col("available_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("size")).alias("shortage"))
+    reached = got.withColumn("reached", F.sum("tokens").over(Window.partitionBy("plan")))
+    tokens = F.coalesce("tokens", F.lit(0))
+    report = goal.join(reached, ["plan", "source"], "left").select("plan", "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("reached"), F.lit(0.0)), 6).alias("actual_share"), tokens.alias("tokens"), "available_tokens", F.coalesce("max_copies", F.lit(0)).alias("max_copies"), (F.col("available_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("size")).alias("shortage"))
     return selection, report
