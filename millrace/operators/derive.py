@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 
-# Words of titles that tell seniority, workplace and contract, in order of precedence.
-SENIORITY = (("intern", ("praktik", "intern ", "werkstudent", "trainee", "stagiaire")), ("lead", ("lead", "head of", "leiter", "leitung", "principal")), ("senior", ("senior",)), ("junior", ("junior",)))
-WORKPLACE = (("hybrid", ("hybrid",)), ("remote", ("remote", "homeoffice", "home office", "teletravail")), ("onsite", ("vor ort", "on-site", "onsite", "werk ")))
-CONTRACT = (("part_time", ("teilzeit", "part-time", "part time", "mi-temps")), ("full_time", ("vollzeit", "full-time", "full time", "permanent")))
+# Words that tell seniority, workplace and contract, in order of precedence.
+SENIORITY = (
+    ("apprenticeship", ("ausbildung", "azubi", "auszubildende", "apprentice", "apprenti ", "leerling", "lehrling", "lehrstelle")),
+    ("intern", ("praktik", "intern ", "internship", "werkstudent", "working student", "stagiaire", "stage ", "becario", "tirocin")),
+    ("executive", ("chief ", "geschaftsfuhr", "geschaeftsfuehr", "vorstand", "vice president", "managing director", "directeur general", "cto ", "ceo ", "cfo ")),
+    ("lead", ("lead", "head of", "leiter", "leitung", "principal", "team manager", "responsable", "hoofd ")),
+    ("senior", ("senior", "sr. ", "experte", "erfahren", "confirme", "ervaren")),
+    ("junior", ("junior", "jr. ", "trainee", "berufseinsteiger", "einsteiger", "entry level", "graduate", "debutant", "absolvent")),
+)
+WORKPLACE = (
+    ("hybrid", ("hybrid", "teilweise homeoffice", "mobiles arbeiten")),
+    ("remote", ("remote", "homeoffice", "home office", "home-office", "teletravail", "thuiswerk", "teletrabajo", "work from home", "wfh ")),
+    ("onsite", ("vor ort", "on-site", "onsite", "on site", "sur site", "op locatie", "presencial", "werk ")),
+)
+CONTRACT = (
+    ("apprenticeship", ("ausbildung", "apprentic", "alternance")),
+    ("internship", ("praktik", "intern", "stage", "tirocin")),
+    ("temporary", ("befristet", "temporar", "temporary", "zeitarbeit", "leiharbeit", "interim", "cdd ", "contract", "freelance", "freiberuf", "saison")),
+    ("part_time", ("teilzeit", "part-time", "part time", "part_time", "parttime", "mi-temps", "temps partiel", "deeltijd", "minijob", "geringfugig", "media jornada")),
+    ("full_time", ("vollzeit", "full-time", "full time", "full_time", "fulltime", "temps plein", "voltijd", "permanent", "festanstellung", "unbefristet", "cdi ", "jornada completa")),
+)
 
 
 def first_term(text: Column | str, terms: tuple) -> Column:
@@ -86,21 +101,20 @@ def html_to_text(col: Column) -> Column:
     return plain(col)
 
 
-def hashed_vector(text: str, dim: int, prefix: str = "passage: ") -> np.ndarray:
-    """A vector of length one drawn from the hash of the text: the same everywhere, close to no other."""
-    n, out = 0, b""
-    while len(out) < 4 * dim:
-        out += hashlib.sha256(f"{prefix}{n}|{text}".encode("utf-8", "surrogatepass")).digest()
-        n += 1
-    v = np.frombuffer(out[: 4 * dim], "<u4").astype(float) / 2**31 - 1
-    return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
+def hashed_vector(text: Column | str, dim: int = 64) -> Column:
+    """A vector of length one drawn from the MD5 digest of the whole text: the same everywhere, close to no other.
+
+    Number i is read from the digest of the text's digest and i, scaled to -1..1.  Null texts count as empty.  Runs in the JVM.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    key = F.md5(F.coalesce(t, F.lit("")))
+    number = lambda i: F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**31 - 1
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), number)
+    # numbers and length are bound by one-element arrays, so that each is worked out once
+    with_length = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)).alias("n")))
+    return F.get(F.transform(with_length, lambda r: F.transform(r["v"], lambda x: x / r["n"])), F.lit(0))
 
 
 def embed(rows: DataFrame, dim: int = 64) -> DataFrame:
     """``id, vec`` of rows (id, text) by :func:`hashed_vector`; null texts count as empty."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"id": b.id, "vec": pd.Series([hashed_vector(t or "", dim).tolist() for t in b.text], dtype=object)})
-
-    return rows.select(F.col("id").cast("bigint").alias("id"), "text").mapInPandas(run, "id bigint, vec array<float>")
+    return rows.select(F.col("id").cast("bigint").alias("id"), hashed_vector("text", dim).cast("array<float>").alias("vec"))

@@ -61,7 +61,8 @@ def stated_quantities(quotes: DataFrame, periods: list[str], amount: str = "amou
     """``quotes`` with what their fields and text state: ``q_amount`` (whole currency units), ``q_currency``, ``q_period``.
 
     The text holds where it states an amount, that is a number beside a currency or a period; what it leaves out
-    comes from the fields.  Unknown, empty or null writings give null.  Nothing is guessed here.
+    comes from the fields.  Empty and null writings give null, and so do unknown ones, which ``q_unknown`` tells: a currency or
+    period is written there, but none that is known.  Nothing is guessed here.
     """
     t = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[   \t]", " "))
     out = quotes.withColumn("_t", t)
@@ -82,10 +83,14 @@ def stated_quantities(quotes: DataFrame, periods: list[str], amount: str = "amou
     out = out.withColumn("_u", _unit_of(F.col("_w")))
     scale = F.coalesce(F.split_part("_u", F.lit("|"), F.lit(2)), F.lit("1")).cast("decimal(10,2)") * F.when(F.col("_k") != "", 1000).otherwise(1)
     known = F.when(in_field.isin(periods), in_field)
+    named = F.when(use, F.coalesce("_tp", known)).otherwise(known)
+    odd_period = named.isNull() & in_field.isNotNull() & ~in_field.isin("", "UNKNOWN")
+    odd_currency = ~from_text & (field != "") & (F.col("_fc") == "")
     return out.withColumns({
+        "q_unknown": odd_period | odd_currency,
         "q_amount": (F.when(use, F.col("_tn")).otherwise(F.col(amount).cast("decimal(18,6)")) * scale).cast("decimal(28,8)"),
         "q_currency": F.split_part("_u", F.lit("|"), F.lit(1)),
-        "q_period": F.when(use, F.coalesce("_tp", known)).otherwise(known),
+        "q_period": named,
     }).drop("_t", "_tk", "_tc", "_tp", "_tn", "_fk", "_fc", "_w", "_k", "_u")
 
 
@@ -94,7 +99,8 @@ def fit_unit_mixture(bins: pd.DataFrame, rates: dict[str, float], per_year: dict
 
     ``bins``: cur, per (either may be null), bin, n.  Every pair of currency and period is a component with the shared
     mean and width, shifted by the logarithm of its factor; stated units fix a bin's components, so rows with units
-    anchor the fit.  A flat background takes what fits no component.  No bins give no rows.
+    anchor the fit.  A flat background, a component like the others whose weight is fitted, takes what fits none of them.
+    No bins give no rows.
     """
     comps = [(c, p) for c in sorted(rates) for p in sorted(per_year)]
     off = np.array([math.log(rates[c] * per_year[p]) for c, p in comps])
@@ -105,10 +111,10 @@ def fit_unit_mixture(bins: pd.DataFrame, rates: dict[str, float], per_year: dict
     y, n = out.bin.to_numpy() * BIN, out.n.to_numpy(float)
     z = y[:, None] + off[None, :]
     mu, sd, back = math.log(40_000), 0.8, 0.01
-    pi = np.full(len(comps), 1 / len(comps))
-    flat = back / (LOG_HIGH - LOG_LOW)
+    pi = np.full(len(comps), (1 - back) / len(comps))
     for _ in range(rounds):
         like = np.where(allowed, pi * np.exp(-0.5 * ((z - mu) / sd) ** 2) / (sd * math.sqrt(2 * math.pi)), 0.0)
+        flat = back / (LOG_HIGH - LOG_LOW)
         total = like.sum(1) + flat
         r = like / total[:, None]
         w = r * n[:, None]
@@ -116,33 +122,40 @@ def fit_unit_mixture(bins: pd.DataFrame, rates: dict[str, float], per_year: dict
             break
         mu = float((w * z).sum() / w.sum())
         sd = max(0.05, math.sqrt(float((w * (z - mu) ** 2).sum() / w.sum())))
-        pi = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * len(comps))
+        back = min(0.2, max(1e-4, float((n * flat / total).sum() / n.sum())))
+        pi = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * len(comps)) * (1 - back)
     best = r.argmax(1)
     out["best_cur"] = [comps[k][0] for k in best]
     out["best_per"] = [comps[k][1] for k in best]
     out["posterior"] = r[np.arange(len(best)), best]
-    return out, {"mean": mu, "sd": sd}
+    return out, {"mean": mu, "sd": sd, "background": back}
 
 
 def normalise_quantities(quotes: DataFrame, fx: DataFrame, pay_periods: DataFrame, sure: float = 0.9, **columns: str) -> DataFrame:
     """Every quote in euros a year.
 
-    Adds ``q_amount``, ``q_currency``, ``q_period``, ``eur_year`` (exact decimal), ``unit_source`` (``stated``, ``inferred``
-    or ``none``), ``posterior`` and ``uncertain``.  Stated units convert exactly.  Where an amount lacks its currency or
+    Adds ``q_amount``, ``q_currency``, ``q_period``, ``q_unknown``, ``eur_year`` (exact decimal), ``unit_source`` (``stated``,
+    ``inferred``, ``unknown unit`` or ``none``), ``posterior`` and ``uncertain``.  Stated units convert exactly.  Where an amount lacks its currency or
     period, a mixture on the log scale, fitted on the histogram of all amounts, assigns the likeliest unit; below ``sure``
-    the row is flagged.  Quotes without a positive amount get ``none``.  Repeated rows stay, extra columns pass through,
+    the row is flagged.  A unit that is written but not known is never replaced by another.  Quotes without a positive amount
+    get ``none``.  Repeated rows stay, extra columns pass through,
     null fields count as not stated, an empty table gives an empty table.
 
     ``fx`` and ``pay_periods`` are configuration; at most 1000 rows each are accepted.
     """
+    from ..io import cut
+
     spark = quotes.sparkSession
     rates = {r[0]: r[1] for r in fx.select("currency", "eur_per_unit").limit(1001).collect()}
     per_year = {r[0]: r[1] for r in pay_periods.select("period", "periods_per_year").limit(1001).collect()}
     if max(len(rates), len(per_year)) > 1000:
         raise ValueError("fx and pay_periods are configuration of at most 1000 rows")
-    q = stated_quantities(quotes, list(per_year), **columns)
-    q = q.withColumn("q_currency", F.when(F.col("q_currency").isin(list(rates)), F.col("q_currency")))
-    usable = F.col("q_amount") > 0
+    # read once, used for the histogram and for the rows
+    q = cut(stated_quantities(quotes, list(per_year), **columns))
+    rated = F.col("q_currency").isin(list(rates))
+    q = q.withColumns({"q_unknown": F.col("q_unknown") | (F.col("q_currency").isNotNull() & ~rated), "q_currency": F.when(rated, F.col("q_currency"))})
+    amount = F.col("q_amount") > 0
+    usable = amount & ~F.col("q_unknown")
     q = q.withColumn("_bin", F.when(usable, F.round(F.least(F.greatest(F.ln(F.col("q_amount").cast("double")), F.lit(LOG_LOW)), F.lit(LOG_HIGH)) / BIN).cast("int")))
     bins = q.where(usable).groupBy(F.col("q_currency").alias("cur"), F.col("q_period").alias("per"), F.col("_bin").alias("bin")).agg(F.count("*").alias("n")).toPandas()
     fitted, _ = fit_unit_mixture(bins, {k: float(v) for k, v in rates.items()}, {k: float(v) for k, v in per_year.items()})
@@ -156,10 +169,10 @@ def normalise_quantities(quotes: DataFrame, fx: DataFrame, pay_periods: DataFram
     times = F.try_element_at(F.from_json(F.lit(json.dumps(per_year)), "map<string,int>"), per)
     q = q.withColumns({
         "eur_year": F.when(usable, F.col("q_amount") * rate * times),
-        "unit_source": F.when(stated, "stated").when(usable & cur.isNotNull() & per.isNotNull(), "inferred").otherwise("none"),
+        "unit_source": F.when(stated, "stated").when(usable & cur.isNotNull() & per.isNotNull(), "inferred").when(amount & F.col("q_unknown"), "unknown unit").otherwise("none"),
         "posterior": F.when(stated, F.lit(1.0)).otherwise(F.col("_post")),
     })
-    q = q.withColumn("uncertain", F.col("unit_source").eqNullSafe("none") | (F.coalesce("posterior", F.lit(0.0)) < sure))
+    q = q.withColumn("uncertain", ~F.col("unit_source").isin("stated", "inferred") | (F.coalesce("posterior", F.lit(0.0)) < sure))
     return q.withColumns({"q_currency": cur, "q_period": per}).drop("_bin", "_cur", "_per", "_b", "_bc", "_bp", "_post")
 
 
@@ -173,3 +186,20 @@ def against_facets(normalised: DataFrame, facets: DataFrame, tolerance: str = "0
     q = normalised.where(F.col("unit_source") == "stated").select("quote_id", "job_id", F.round("eur_year", 0).cast("bigint").alias("min_eur_year")).distinct()
     gap = F.abs(F.col("claimed") - F.col("min_eur_year")) > F.col("min_eur_year") * F.lit(tolerance).cast("decimal(6,4)")
     return q.join(current, "job_id", "left").select("quote_id", "min_eur_year", F.when(F.col("claimed").isNull(), "missing").when(gap, "wrong").otherwise("ok").alias("facet_state")).distinct()
+
+
+def hidden_units(quotes: DataFrame, fx: DataFrame, pay_periods: DataFrame, sure: float = 0.9) -> DataFrame:
+    """``hidden, n, right, flagged, sure_right``: how well the mixture assigns units it is not told.
+
+    Of the quotes whose units are stated a quarter (by hash of ``quote_id``) has its period taken away and a quarter its
+    currency; the rest anchors the fit.  ``right`` is the share assigned the true unit, ``flagged`` that flagged as uncertain,
+    ``sure_right`` the share right among those not flagged.
+    """
+    told = normalise_quantities(quotes, fx, pay_periods, sure).where("unit_source = 'stated'")
+    part = F.pmod(F.xxhash64(F.col("quote_id")), F.lit(4))
+    known = told.select("quote_id", part.alias("part"), F.col("q_amount").cast("decimal(18,6)").alias("amount_min"), F.col("q_currency").alias("true_currency"), F.col("q_period").alias("true_period")).distinct()
+    bare = known.select("quote_id", "part", "amount_min", "true_currency", "true_period", F.when(F.col("part") != 1, F.col("true_currency")).alias("currency"), F.when(F.col("part") != 0, F.col("true_period")).alias("period"), F.lit(None).cast("string").alias("raw_text"))
+    got = normalise_quantities(bare, fx, pay_periods, sure).where("part < 2")
+    right = (F.col("q_currency") == F.col("true_currency")) & (F.col("q_period") == F.col("true_period"))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return got.groupBy(F.when(F.col("part") == 0, "period").otherwise("currency").alias("hidden")).agg(F.count("*").alias("n"), share(right).alias("right"), share(F.col("uncertain")).alias("flagged"), share(F.when(~F.col("uncertain"), right)).alias("sure_right"))

@@ -19,10 +19,13 @@ PASS = 4096
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """``q, id, pos``: the ``k`` nearest rows of ``corpus`` (id, vec) by cosine for each of ``queries`` (q, vec), exactly.
 
-    Similarities are rounded to ``digits``; ties go to the smaller id, a query never finds its own id.  Each pass sends at
-    most ``PASS`` queries and reads the corpus once: tasks keep the best of each batch, so only k rows a query and batch are
-    shuffled.  Null, empty, zero and not finite vectors are left out, and those whose length differs from the query's.
+    Similarities are rounded to ``digits``; ties go to the smaller id, a query never finds its own id.  Each pass sends about
+    ``PASS`` queries and reads the corpus once: tasks keep the best of each batch, so only k rows a query and batch are
+    shuffled.  With several passes each is finished and its hits written before the next one's queries are fetched, so the
+    driver never holds more than one.  Null, empty, zero and not finite vectors are left out, and those whose length differs from the query's.
     """
+    from ..io import cut
+
     spark = corpus.sparkSession
     good = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     asked = queries.where(good).select("q", "vec")
@@ -55,6 +58,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int =
                     yield f.groupby("q").head(k)
 
         hits = corpus.where(good).select(F.col("id").cast("bigint").alias("id"), "vec").mapInPandas(scan, "q bigint, id bigint, sim double")
+        if n > 1:
+            hits = cut(hits)
+            held.unpersist()
         out = hits if out is None else out.unionByName(hits)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
     return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "id", "pos")

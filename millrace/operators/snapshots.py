@@ -77,8 +77,11 @@ def snapshot_changes(documents: DataFrame, sweeps: DataFrame, jobs: DataFrame) -
     large board is no hot key.  A complete sweep without rows removes everything; a board's first gives no changes.
     Sweep or document tables may be empty.
     """
+    from ..io import cut
+
     sequence = snapshot_sequence(sweeps)
-    rows = snapshot_rows(documents, sequence)
+    # hashed once, read three times
+    rows = cut(snapshot_rows(documents, sequence))
     cur = rows.where(F.col("seq") > 1).withColumnRenamed("hash", "now")
     prev = rows.withColumn("seq", F.col("seq") + 1).withColumnRenamed("hash", "before")
     both = cur.join(prev, ["source", "scope", "seq", "ext"], "full_outer")

@@ -93,16 +93,28 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["grp", "seq", "record_id"], kind="stable", na_position="first", ignore_index=True)
 
 
+def _matrix(kind: list, us: list, cost: list, lo: int, hi: int) -> np.ndarray:
+    """Costs of the cheapest path from every reading of row ``lo`` to every one of row ``hi``, both included."""
+    best = [[cost[lo][i] if i == j else math.inf for j in range(len(us[lo]))] for i in range(len(us[lo]))]
+    for r in range(lo + 1, hi + 1):
+        steps = [[_step(kind[r - 1][i], us[r - 1][i], kind[r][j], us[r][j]) + cost[r][j] for i in range(len(us[r - 1]))] for j in range(len(us[r]))]
+        best = [[min(x + y for x, y in zip(row, s)) for s in steps] for row in best]
+    return np.array(best)
+
+
 def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each run of a group in the block: the cheapest path from every reading of its first record to every one of its last."""
+    """For each run of a group in the block: the cheapest path from every reading of its first record to every one of its last.
+
+    Every path passes through the single reading of a record that has one, so only what stands before the first and after
+    the last such record is worked out; what is between them adds the same to all paths and is left out.
+    """
     pdf, out = _sorted(pdf), []
     kind, us, cost = pdf.kind.tolist(), pdf.us.tolist(), pdf.cost.tolist()
+    single = pdf.us.map(len).to_numpy() == 1
     for a, b in _runs(pdf.grp.to_numpy()):
-        best = [[cost[a][i] if i == j else math.inf for j in range(len(us[a]))] for i in range(len(us[a]))]
-        for r in range(a + 1, b):
-            steps = [[_step(kind[r - 1][i], us[r - 1][i], kind[r][j], us[r][j]) + cost[r][j] for i in range(len(us[r - 1]))] for j in range(len(us[r]))]
-            best = [[min(x + y for x, y in zip(row, s)) for s in steps] for row in best]
-        out.append((int(pdf.block[a]), pdf.grp[a], [int(x) for x in kind[a]], [int(x) for x in us[a]], [int(x) for x in kind[b - 1]], [int(x) for x in us[b - 1]], [float(x) for row in best for x in row]))
+        at = a + np.flatnonzero(single[a:b])
+        best = _matrix(kind, us, cost, a, at[0]) + _matrix(kind, us, cost, at[-1], b - 1) if len(at) else _matrix(kind, us, cost, a, b - 1)
+        out.append((int(pdf.block[a]), pdf.grp[a], [int(x) for x in kind[a]], [int(x) for x in us[a]], [int(x) for x in kind[b - 1]], [int(x) for x in us[b - 1]], [float(x) for x in best.ravel()]))
     return pd.DataFrame(out, columns=["block", "grp", "kind_a", "us_a", "kind_b", "us_b", "best"])
 
 
@@ -131,33 +143,46 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "grp", "first", "last"])
 
 
+def _path(kind: list, us: list, cost: list, lo: int, hi: int, first: int, last: int) -> list[int]:
+    """The cheapest path from reading ``first`` of row ``lo`` to ``last`` of row ``hi``: the readings of the rows between."""
+    score, back = [0.0 if i == first else math.inf for i in range(len(us[lo]))], []
+    for r in range(lo + 1, hi + 1):
+        nxt, frm = [], []
+        for j in range(len(us[r])):
+            s, i = min((score[i] + _step(kind[r - 1][i], us[r - 1][i], kind[r][j], us[r][j]) + cost[r][j], i) for i in range(len(score)))
+            nxt.append(s)
+            frm.append(i)
+        score = nxt
+        back.append(frm)
+    at, picks = last, []
+    for frm in reversed(back[1:]):
+        at = frm[at]
+        picks.append(at)
+    # the first step back leads from row hi to row hi - 1
+    return picks[::-1]
+
+
 def _decode(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-    """The path inside a block whose first and last readings are given."""
+    """The path inside a block whose first and last readings are given; only records with several readings take part."""
     pdf = _sorted(pdf)
     kind, us, cost = pdf.kind.tolist(), pdf.us.tolist(), pdf.cost.tolist()
     fixed = {g: (f, l) for g, f, l in zip(ends.grp, ends["first"], ends["last"])}
+    single = pdf.us.map(len).to_numpy() == 1
     pick = np.zeros(len(pdf), int)
     for a, b in _runs(pdf.grp.to_numpy()):
         first, last = fixed[pdf.grp[a]]
-        score, back = [0.0 if i == first else math.inf for i in range(len(us[a]))], []
-        for r in range(a + 1, b):
-            nxt, frm = [], []
-            for j in range(len(us[r])):
-                s, i = min((score[i] + _step(kind[r - 1][i], us[r - 1][i], kind[r][j], us[r][j]) + cost[r][j], i) for i in range(len(score)))
-                nxt.append(s)
-                frm.append(i)
-            score = nxt
-            back.append(frm)
-        at = int(last)
-        for r in range(b - 1, a - 1, -1):
-            pick[r] = at
-            if r > a:
-                at = back[r - a - 1][at]
+        pick[a], pick[b - 1] = first, last
+        known = single[a:b].copy()
+        known[[0, -1]] = True
+        at = a + np.flatnonzero(known)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            if hi > lo + 1:
+                pick[lo + 1 : hi] = _path(kind, us, cost, lo, hi, int(pick[lo]), int(pick[hi]))
     rows = range(len(pdf))
     return pd.DataFrame({"record_id": pdf.record_id, "field": pdf.field, "epoch_us": [int(us[r][pick[r]]) for r in rows], "reading": [KINDS[int(kind[r][pick[r]])] for r in rows], "readings": [len(us[r]) for r in rows]})
 
 
-def resolve_timestamps(values: DataFrame, clock: DataFrame, blocks: int | None = None) -> DataFrame:
+def resolve_timestamps(values: DataFrame, clock: DataFrame, blocks: int | None = None, block_rows: int = 200_000) -> DataFrame:
     """``record_id, field, epoch_us, reading, readings`` for every value that states an instant or a day.
 
     ``values``: source, field, record_id (text), seq (order within the source; nulls come first), value.  ``clock``: source,
@@ -167,7 +192,7 @@ def resolve_timestamps(values: DataFrame, clock: DataFrame, blocks: int | None =
 
     The path is found in blocks: a source's order is cut into ranges, each block gives the costs from its first to its
     last record's readings, the blocks' few rows are combined, and each block is decoded between fixed ends.  So no source
-    is gathered in one task.  Null, blank, relative and impossible values give no row.
+    is gathered in one task; blocks hold about ``block_rows`` records, and their number grows with the data.  Null, blank, relative and impossible values give no row.
     """
     from ..io import cut
 
@@ -176,9 +201,10 @@ def resolve_timestamps(values: DataFrame, clock: DataFrame, blocks: int | None =
     v = values.join(clock, "source", "left")
     got = interpretations(F.col("value"), F.coalesce("time_zone", F.lit("UTC")), F.col("date_order"))
     v = v.select(F.concat_ws("/", F.coalesce("source", F.lit("")), "field").alias("grp"), "field", "record_id", F.col("seq").cast("bigint").alias("seq"), got.alias("c")).where(F.size("c") > 0)
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = v.repartitionByRange(n, "grp", "seq", "record_id").withColumn("block", F.spark_partition_id())
-    v = cut(v.select("block", "grp", "field", "record_id", "seq", F.col("c.kind").alias("kind"), F.col("c.us").alias("us"), F.col("c.cost").alias("cost")))
+    # read once: the ranges are found from a sample of what is written here
+    v = cut(v.select("grp", "field", "record_id", "seq", F.col("c.kind").alias("kind"), F.col("c.us").alias("us"), F.col("c.cost").alias("cost")))
+    n = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-v.count() // block_rows))
+    v = cut(v.repartitionByRange(n, "grp", "seq", "record_id").withColumn("block", F.spark_partition_id()))
     runs = v.groupBy("block").applyInPandas(_summarise, "block int, grp string, kind_a array<int>, us_a array<bigint>, kind_b array<int>, us_b array<bigint>, best array<double>")
     ends = runs.groupBy("grp").applyInPandas(_combine, "block int, grp string, first int, last int")
     return v.groupBy("block").cogroup(ends.groupBy("block")).applyInPandas(_decode, "record_id string, field string, epoch_us bigint, reading string, readings int")

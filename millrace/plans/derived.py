@@ -13,14 +13,14 @@ __all__ = ["ORACLE", "QUERIES"]
 
 
 def _case(column: str, terms: tuple) -> str:
-    t = f"({_FOLD.format(column)} || ' ')"
+    t = f"(coalesce({_FOLD.format(column)}, '') || ' ')"
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({t}, {w!r})' for w in words)} THEN '{label}'" for label, words in terms) + " ELSE 'unknown' END"
 
 
-@query(f"SELECT id, {_case('title', derive.SENIORITY)} AS seniority, {_case('location_text', derive.WORKPLACE)} AS workplace, {_case('employment_type_hint', derive.CONTRACT)} AS contract FROM job WHERE title IS NOT NULL AND location_text IS NOT NULL AND employment_type_hint IS NOT NULL")
+@query(f"SELECT id, {_case('title', derive.SENIORITY)} AS seniority, {_case('location_text', derive.WORKPLACE)} AS workplace, {_case('employment_type_hint', derive.CONTRACT)} AS contract FROM job")
 def title_terms(spark, d):
-    j = table(spark, d, "job").where("title IS NOT NULL AND location_text IS NOT NULL AND employment_type_hint IS NOT NULL")
-    return j.select("id", derive.first_term("title", derive.SENIORITY).alias("seniority"), derive.first_term("location_text", derive.WORKPLACE).alias("workplace"), derive.first_term("employment_type_hint", derive.CONTRACT).alias("contract"))
+    """A null field gives unknown; the others are read all the same."""
+    return table(spark, d, "job").select("id", derive.first_term("title", derive.SENIORITY).alias("seniority"), derive.first_term("location_text", derive.WORKPLACE).alias("workplace"), derive.first_term("employment_type_hint", derive.CONTRACT).alias("contract"))
 
 
 @query("""SELECT id, place FROM (SELECT id, trim(regexp_replace(unnest(regexp_split_to_array(coalesce(location_text, ''), '(?i)[;|]|\\s+(?:or|oder)\\s+')), '[\\s\\x{00a0}]+', ' ', 'g')) AS place FROM job) WHERE place <> ''""")
@@ -33,11 +33,15 @@ def plain_descriptions(spark, d):
     return table(spark, d, "job").select("id", derive.html_to_text(F.col("description")).alias("description"))
 
 
-@query()
+_TEXT = "concat_ws(chr(10), title, company, location_text, description)"
+
+
+@query(f"""WITH k AS (SELECT id, md5({_TEXT}) AS k FROM job), r AS (SELECT id, list_transform(range(64), lambda i: ('0x' || substr(md5(k || '/' || i), 1, 8))::BIGINT / 2147483648.0 - 1) AS v FROM k)
+SELECT id, i, round(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) + 0.0 AS x FROM r, (SELECT unnest(range(64)) AS i)""")
 def hashed_embeddings(spark, d):
-    """The whole vector of each posting's whole text; the reference takes the first 1 200 characters of a description."""
+    """Every number of the vector of each posting's whole text."""
     j = table(spark, d, "job").select("id", F.concat_ws("\n", "title", "company", "location_text", "description").alias("text"))
-    return derive.embed(j)
+    return j.select("id", F.posexplode(derive.hashed_vector("text")).alias("i", "x")).select("id", F.col("i").cast("bigint").alias("i"), (F.round("x", 5) + 0.0).alias("x"))
 
 
 RULES = (("jobs.example", "board"), ("arbeitsagentur-feed.example", "agency"))

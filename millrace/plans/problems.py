@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..io import table
-from ..operators.quantities import against_facets, normalise_quantities
+from ..operators.quantities import against_facets, hidden_units, normalise_quantities
 from ..operators.snapshots import snapshot_changes
 from ..operators.timestamps import posting_stamps, resolve_timestamps
 
@@ -20,6 +21,11 @@ def p4_units(spark: SparkSession, d: str) -> DataFrame:
     return q.select("quote_id", "q_currency", "q_period", q.eur_year.cast("double").alias("eur_year"), "unit_source", "posterior", "uncertain").distinct()
 
 
+def p4_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """How well the mixture of p4_units assigns units that were taken away."""
+    return hidden_units(table(spark, d, "salary_quote"), table(spark, d, "fx_rate"), table(spark, d, "pay_period"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "source_document"), table(spark, d, "source_sweep"), table(spark, d, "job"))
 
@@ -29,6 +35,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return resolve_timestamps(values, table(spark, d, "source_clock")).select("record_id", "field", "epoch_us")
 
 
+def p6_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """How well the path alone finds the order of figures: sources' declared orders are taken away and compared with."""
+    values, clock = posting_stamps(table(spark, d, "job"), table(spark, d, "needles")), table(spark, d, "source_clock")
+    told = resolve_timestamps(values, clock).select("record_id", "field", F.col("epoch_us").alias("told"))
+    alone = resolve_timestamps(values, clock.withColumn("date_order", F.lit(None).cast("string")))
+    both = alone.join(told, ["record_id", "field"])
+    same = F.col("told") == F.col("epoch_us")
+    return both.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("readings") > 1).alias("ambiguous"), F.count_if((F.col("readings") > 1) & same).alias("same"), F.round(F.avg(same.cast("double")), 6).alias("share"))
+
+
 # SQL for the same results; members of payloads are compared leaf by leaf.
 _KEY = "lower(regexp_replace(external_id, '^[\\s\\x{00a0}]+|[\\s\\x{00a0}]+$', '', 'g'))"
 _P5 = f"""WITH q AS (SELECT id AS sweep_id, source, scope, row_number() OVER w AS seq, count(*) OVER (PARTITION BY source, scope) AS last_seq FROM source_sweep WHERE complete AND scope IS NOT NULL WINDOW w AS (PARTITION BY source, scope ORDER BY started_at, id)),
@@ -52,5 +68,5 @@ e AS (SELECT quote_id, job_id, round(amount::DECIMAL(20, 6) * eur_per_unit::DECI
 f AS (SELECT job_id, arg_max({{'s': salary_min_eur_year}}, (derive_version, derived_at)).s AS s FROM job_facet GROUP BY 1)
 SELECT DISTINCT quote_id, min_eur_year, CASE WHEN s IS NULL THEN 'missing' WHEN abs(s - min_eur_year) > min_eur_year * 0.01 THEN 'wrong' ELSE 'ok' END AS facet_state FROM e LEFT JOIN f USING (job_id)"""
 
-QUERIES = {"p4_found": p4_found, "p4_units": p4_units, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_units": p4_units, "p4_hidden": p4_hidden, "p5_found": p5_found, "p6_found": p6_found, "p6_hidden": p6_hidden}
 ORACLE = {"p4_found": _P4, "p5_found": _P5}

@@ -25,11 +25,14 @@ def test_terms_and_places(spark):
 
 
 def test_hashed_vectors(spark):
-    v = derive.hashed_vector("abc", 64)
-    assert np.linalg.norm(v) == pytest.approx(1, abs=1e-5) and (v == derive.hashed_vector("abc", 64)).all()
-    assert abs(float(v @ derive.hashed_vector("abd", 64))) < 0.5
-    rows = derive.embed(spark.createDataFrame([(1, None), (2, "x")], "id long, text string"), 8).collect()
-    assert [len(r.vec) for r in rows] == [8, 8]
+    rows = spark.createDataFrame([(1, None), (2, "abc"), (3, "abd"), (4, "abc"), (5, "")], "id long, text string")
+    v = {r.id: np.array(r.vec) for r in derive.embed(rows, 64).collect()}
+    assert all(len(x) == 64 and np.linalg.norm(x) == pytest.approx(1, abs=1e-5) for x in v.values())
+    assert (v[2] == v[4]).all() and (v[1] == v[5]).all()
+    assert abs(float(v[2] @ v[3])) < 0.5
+    long = spark.createDataFrame([(1, "x" * 5000 + "a"), (2, "x" * 5000 + "b")], "id long, text string")
+    a, b = [np.array(r.vec) for r in derive.embed(long, 64).orderBy("id").collect()]
+    assert abs(float(a @ b)) < 0.5
 
 
 RULES = (("boards.example", "b"), ("one.example", "o"))
@@ -83,5 +86,6 @@ def test_hashed_embeddings_take_whole_texts(spark, tmp_path):
 
     rows = [(k, "T", "C", "L", "wort " * 300 + end) for k, end in ((1, "eins"), (2, "zwei"))]
     spark.createDataFrame(rows, "id long, title string, company string, location_text string, description string").write.parquet(f"{tmp_path}/job.parquet")
-    a, b = (list(r.vec) for r in derived.hashed_embeddings(spark, str(tmp_path)).orderBy("id").collect())
-    assert len(a) == len(b) == 64 and a != b
+    got = {(r.id, r.i): r.x for r in derived.hashed_embeddings(spark, str(tmp_path)).collect()}
+    a, b = [[got[k, i] for i in range(64)] for k in (1, 2)]
+    assert len(got) == 128 and a != b

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from millrace.operators.quantities import BIN, against_facets, fit_unit_mixture, normalise_quantities
+from millrace.operators.quantities import BIN, against_facets, fit_unit_mixture, hidden_units, normalise_quantities
 
 SCHEMA = "quote_id long, job_id long, amount_min decimal(18,6), currency string, period string, raw_text string"
 
@@ -76,3 +76,16 @@ def test_facets_take_the_highest_version(spark, rates):
     f = spark.createDataFrame([(7, 10, Decimal(99), "2026-01-02"), (7, 11, Decimal(40300), "2026-01-01"), (8, 11, Decimal(40500), "2026-01-01")], "job_id long, derive_version int, salary_min_eur_year decimal(18,6), derived_at string")
     got = {tuple(r) for r in against_facets(normalise_quantities(q, *rates), f).collect()}
     assert got == {(1, 40000, "ok"), (2, 40000, "wrong"), (3, 40000, "missing")}
+
+
+@pytest.mark.parametrize("case", [dict(amount=100, currency="XYZ", period="YEAR"), dict(amount=100, currency="USD", period="YEAR"), dict(amount=100, currency="EUR", period="FORTNIGHT")])
+def test_a_unit_that_is_not_known_is_not_guessed(spark, rates, case):
+    assert value(spark, rates, **case) == ("unknown unit", None)
+
+
+def test_hidden_units(spark, rates):
+    rng = np.random.default_rng(1)
+    pay = np.exp(rng.normal(np.log(45000), 0.25, 1200))
+    rows = [(i, i, Decimal(str(round(x / (12 if i % 3 == 0 else 1), 2))), "EUR", "MONTH" if i % 3 == 0 else "YEAR", None) for i, x in enumerate(pay)]
+    got = {r.hidden: r for r in hidden_units(spark.createDataFrame(rows, SCHEMA), *rates).collect()}
+    assert got["period"].right > 0.97 and got["period"].sure_right > 0.97 and got["period"].n + got["currency"].n > 400

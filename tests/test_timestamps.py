@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from millrace.operators import timestamps as T
 from millrace.operators.timestamps import resolve_timestamps
 
 VALUES = "source string, field string, record_id string, seq long, value string"
@@ -76,3 +80,22 @@ def test_order_is_learnt_from_the_sequence_across_blocks(spark, clock, blocks):
     rows = [("open", d.strftime("%d/%m/%Y")) for d in days]
     got = read(spark, clock, rows, blocks)
     assert [got[i] for i in range(60)] == [us(d.year, d.month, d.day) for d in days]
+
+
+def test_stretches_agree_with_a_whole_path():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        n = int(rng.integers(1, 14))
+        rows = []
+        for i in range(n):
+            k = 1 if rng.random() < 0.4 else 2
+            base = 1_770_000_000_000_000 + int(rng.integers(0, 90)) * 86_400_000_000
+            rows.append((0, "g", "f", str(i), i, [3, 4][:k] if k == 2 else [int(rng.integers(1, 5))], [base, base + int(rng.integers(1, 200)) * 86_400_000_000][:k], [0.0, float(rng.choice([0.0, 0.3]))][:k]))
+        pdf = pd.DataFrame(rows, columns=["block", "grp", "field", "record_id", "seq", "kind", "us", "cost"])
+        summary = T._summarise(pdf)
+        got = T._decode(pdf, T._combine(summary))
+        kind, us, cost = pdf.kind.tolist(), pdf.us.tolist(), pdf.cost.tolist()
+        price = lambda p: sum(cost[i][x] + (T._step(kind[i - 1][p[i - 1]], us[i - 1][p[i - 1]], kind[i][x], us[i][x]) if i else 0) for i, x in enumerate(p))
+        least = min(price(p) for p in itertools.product(*[range(len(u)) for u in us]))
+        picked = [us[i].index(e) for i, e in enumerate(got.epoch_us)]
+        assert price(picked) == pytest.approx(least)
