@@ -92,19 +92,23 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, fields: dict[str, int], k:
     return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "id", "score", "pos")
 
 
-def fuse(lists: DataFrame, rule: str = "rrf", k: int = 60) -> DataFrame:
+def fuse(lists: DataFrame, rule: str = "rrf", k: int = 60, depth: int | None = None) -> DataFrame:
     """``q, id, score, pos`` from ranked lists (q, arm, id, pos, and ``weight`` for the weighted rules).
 
     ``rrf`` sums 1/(k+pos) over all lists; ``weighted`` multiplies by the list's weight; ``arm_max`` first reduces each arm to
-    an id's best place, re-ranked within the arm.  Scores are rounded to nine decimals, ties go to the smaller id.
+    an id's best place, re-ranked within the arm, and ``arm_max_weighted`` does both.  Scores are rounded to nine decimals,
+    ties go to the smaller id.  With ``depth`` a query's list ends there.
     """
+    if rule not in ("rrf", "weighted", "arm_max", "arm_max_weighted"):
+        raise ValueError(f"no such rule: {rule}")
+    weighted = rule in ("weighted", "arm_max_weighted")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    if rule == "arm_max":
-        best = lists.groupBy("q", "arm", "id").agg(F.min("pos").alias("pos"))
+    if rule.startswith("arm_max"):
+        best = lists.groupBy("q", "arm", "id").agg(F.min("pos").alias("pos"), *([F.max("weight").alias("weight")] if weighted else []))
         lists = best.withColumn("pos", F.row_number().over(Window.partitionBy("q", "arm").orderBy("pos", "id")))
-    gain = reciprocal(F.col("pos"), k) * (F.col("weight") if rule == "weighted" else F.lit(1.0))
-    out = lists.groupBy("q", "id").agg(F.round(F.sum(gain), 9).alias("score"))
-    return out.withColumn("pos", F.row_number().over(w))
+    gain = reciprocal(F.col("pos"), k) * (F.col("weight") if weighted else F.lit(1.0))
+    out = lists.groupBy("q", "id").agg(F.round(F.sum(gain), 9).alias("score")).withColumn("pos", F.row_number().over(w))
+    return out.where(F.col("pos") <= depth) if depth else out
 
 
 def best_ranks(lists: DataFrame) -> DataFrame:
