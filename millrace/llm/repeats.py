@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .leaks import symbols, words_of
@@ -34,7 +34,10 @@ def role(title: str | None) -> str:
 def grams(text: str | None) -> np.ndarray:
     """The bigrams of a text as sorted 32-bit numbers; the n-th copy of a bigram has a number of its own, so that the
     overlap of two such sets is that of the multisets.  A single word stands for itself."""
-    s = symbols(words_of(text))
+    return _grams(symbols(words_of(text)))
+
+
+def _grams(s: np.ndarray) -> np.ndarray:
     g = (s[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ s[1:]) if len(s) > 1 else s
     g = np.sort(g)
     if not len(g):
@@ -228,62 +231,118 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 class RepeatIndex:
-    """Shards of graphs over accepted postings.
+    """Stored shards of graphs over accepted postings, in one folder.
+
+    Postings are divided by employer into ``segments``, a number fixed when the index is created; a segment is divided into
+    shards of about ``SHARD`` postings, so a large employer has many shards and none is unbounded.  Each batch adds a layer of
+    shards; when there are more than ``layers`` beside the first, they are compacted into one.  A batch reads the shards of the
+    segments it has postings in, and of its own postings alone; earlier ones are not described again.  Where a beam does
+    not hold all of a shard's postings of the query's role and employer, it is compared with all of those exactly.
 
-    History is divided into segments by employer, a segment into shards of about ``SHARD`` postings, so a large employer
-    has many shards and none is unbounded.  Each batch adds a layer of shards; when there are more than ``layers`` of them,
-    the layers of batches are compacted into one.  A query visits the shards of its employer's segment only; where its beam
-    does not hold all of a shard's postings of its role and employer, it is compared with all of those exactly.
+    A layer counts once the manifest names it: a run that ends half-way leaves the index as it was.
     """
 
-    def __init__(self, segments: int, layers: int = 4, least: float = 0.5):
-        self.segments, self.most, self.least = segments, layers, least
-        self.layers: list[tuple[DataFrame, DataFrame]] = []  # (postings, shards)
+    MANIFEST = "version int, segments int, most int, least double, layers array<string>"
+
+    def __init__(self, spark: SparkSession, path: str, version: int, segments: int, most: int, least: float, layers: list[str]):
+        self.spark, self.path, self.version = spark, path, version
+        self.segments, self.most, self.least, self.layers = segments, most, least, layers
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, segments: int = 64, layers: int = 4, least: float = 0.5) -> RepeatIndex:
+        index = cls(spark, path, 0, segments, layers, least, [])
+        index._commit([])
+        return index
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RepeatIndex:
+        r = spark.read.schema(cls.MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        return cls(spark, path, r.version, r.segments, r.most, r.least, list(r.layers))
+
+    def _commit(self, layers: list[str]) -> None:
+        row = (self.version + 1, self.segments, self.most, self.least, layers)
+        self.spark.createDataFrame([row], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.version, self.layers = self.version + 1, layers
+
+    def _read(self, layer: str, what: str) -> DataFrame:
+        schema = {"postings": "id bigint, same bigint, grams binary, seg int", "shards": "chunk int, blob binary, seg int"}[what]
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{layer}/{what}")
+
+    def describe(self, postings: DataFrame) -> DataFrame:
+        return describe(postings).withColumn("seg", F.pmod("who", F.lit(self.segments)).cast("int"))
 
     def shards(self, postings: DataFrame) -> DataFrame:
-        """Built and written shards of some postings; equal ones are held once, under the smallest id."""
+        """Shards of described postings; equal ones are held once, under the smallest id."""
         p = postings.groupBy("seg", "same", "grams").agg(F.min("id").alias("id"))
         sizes = p.groupBy("seg").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("chunks"))
         p = p.join(sizes, "seg").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         return _spread(p.select("seg", "chunk", "id", "same", "grams"), "seg", "chunk").groupBy("seg", "chunk").applyInPandas(_build_shard, "seg int, chunk int, blob binary")
 
-    def add(self, postings: DataFrame) -> None:
-        from ..io import cut
-
-        self.layers.append((postings, cut(self.shards(postings))))
-        if len(self.layers) > self.most:
-            merged = self.layers[1][0]
-            for p, _ in self.layers[2:]:
-                merged = merged.unionByName(p)
-            self.layers = [self.layers[0], (merged, cut(self.shards(merged)))]
+    def _write(self, postings: DataFrame, layer: str) -> None:
+        at = f"{self.path}/{layer}"
+        _spread(postings.select("id", "same", "grams", "seg"), "seg").write.mode("overwrite").partitionBy("seg").parquet(f"{at}/postings")
+        self.shards(self._read(layer, "postings")).write.mode("overwrite").partitionBy("seg").parquet(f"{at}/shards")
+
+    def accept(self, described: DataFrame) -> None:
+        """Add described postings as a layer; compact when there are too many."""
+        name = f"layer-{self.version + 1}"
+        self._write(described, name)
+        layers = [*self.layers, name]
+        if len(layers) > self.most:
+            merged = self._read(layers[1], "postings")
+            for layer in layers[2:]:
+                merged = merged.unionByName(self._read(layer, "postings"))
+            self._write(merged, f"{name}-compact")
+            layers = [layers[0], f"{name}-compact"]
+        self._commit(layers)
 
     def search(self, queries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-        """``b, a, sim`` of queries and the held postings they repeat, in all layers and in ``extra`` shards."""
-        every = [s for _, s in self.layers] + ([extra] if extra is not None else [])
+        """``b, a, sim`` of described queries and the held postings they repeat, in all layers and in ``extra`` shards."""
+        # at most as many as the index has segments: only their folders are read
+        mine = [r[0] for r in queries.select("seg").distinct().collect()]
+        every = [self._read(layer, "shards").where(F.col("seg").isin(mine)) for layer in self.layers] + ([extra] if extra is not None else [])
         held = None
         for n, s in enumerate(every):
-            s = s.withColumn("layer", F.lit(n))
+            s = s.select("seg", "chunk", "blob", F.lit(n).alias("layer"))
             held = s if held is None else held.unionByName(s)
+        if held is None:
+            return self.spark.createDataFrame([], EMPTY)
         blocks = queries.groupBy("seg").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
         left = held.join(blocks, "seg").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         names = held.select(*[F.col(c).alias(c) for c in ("seg", "chunk", "layer")]).join(blocks, "seg")
-        right = queries.join(names, "seg").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        right = queries.select("seg", "id", "same", "grams").join(names, "seg").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
         key = ["seg", "chunk", "layer", "block"]
         return _spread(left, *key).groupBy(*key).cogroup(_spread(right, *key).groupBy(*key)).applyInPandas(_search_shard(self.least), EMPTY)
 
+    def add_batch(self, postings: DataFrame) -> DataFrame:
+        """``b, a``: the postings of a new batch that repeat an accepted one, or an earlier one of the batch, and which; the others
+        are accepted.  Ids are larger than those accepted before."""
+        from ..io import cut
+
+        batch = cut(self.describe(postings))
+        own = cut(self.shards(batch))
+        inner = batch.select(F.col("id").alias("a"), F.lit(True).alias("inner"))
+        hits = self.search(batch, own).join(inner, "a", "left").select("b", "a", "sim", F.coalesce("inner", F.lit(False)).alias("inner"))
+        repeats = cut(_resolve(hits))
+        self.accept(batch.join(repeats.select(F.col("b").alias("id")), "id", "left_anti"))
+        return repeats
+
 
 def describe(postings: DataFrame) -> DataFrame:
-    """``id, batch_no, who, same, grams`` of postings (id, batch_no, title, company, description) that have a description."""
+    """``id, who, same, grams`` of postings (id, title, company, description) that have a description."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             who = [employer(c) for c in b.company]
             same = [f"{w}\n{role(t)}" for w, t in zip(who, b.title)]
-            sets = [grams(t).tobytes() for t in b.description]
-            yield pd.DataFrame({"id": b.id, "batch_no": b.batch_no, "who": symbols(who).astype(np.int64), "same": symbols(same).astype(np.int64), "grams": pd.Series(sets, dtype=object)})
+            # all words of a batch are hashed at once
+            words = [words_of(t) for t in b.description]
+            every, ends = symbols([w for ws in words for w in ws]), np.cumsum([0, *map(len, words)])
+            sets = [_grams(every[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])]
+            yield pd.DataFrame({"id": b.id, "who": symbols(who).astype(np.int64), "same": symbols(same).astype(np.int64), "grams": pd.Series(sets, dtype=object)})
 
-    p = postings.where("description IS NOT NULL AND id IS NOT NULL").select("id", F.coalesce("batch_no", F.lit(0)).alias("batch_no"), "title", "company", "description")
-    return p.mapInPandas(run, "id bigint, batch_no int, who bigint, same bigint, grams binary").where(F.length("grams") > 0)
+    p = postings.where("description IS NOT NULL AND id IS NOT NULL").select("id", "title", "company", "description")
+    return p.mapInPandas(run, "id bigint, who bigint, same bigint, grams binary").where(F.length("grams") > 0)
 
 
 def _resolve(edges: DataFrame) -> DataFrame:
@@ -311,29 +370,25 @@ def _resolve(edges: DataFrame) -> DataFrame:
         open_ = open_.join(new.select("b"), "b", "left_anti").join(new.select(F.col("b").alias("a")), "a", "left_anti")
 
 
-def find_repeats(postings: DataFrame, least: float = 0.5, layers: int = 4) -> DataFrame:
+def find_repeats(postings: DataFrame, least: float = 0.5, layers: int = 4, segments: int = 64, path: str | None = None) -> DataFrame:
     """``b, a``: postings of batches 1 and later and the accepted posting each repeats (smaller id, earlier or same batch).
 
     A repeat has the same role and employer (titles and names folded) and a description whose bigrams overlap by ``least``
-    (Jaccard of multisets, so order of sentences hardly counts).  Batches are worked off in turn: a batch is searched in
-    the index and in shards of its own, its accepted postings become a new layer.  Null, empty and wordless descriptions are
-    no cases; postings alike in everything repeat the one with the smallest id.
+    (Jaccard of multisets, so order of sentences hardly counts).  Batches go one after the other into a :class:`RepeatIndex`, kept
+    at ``path`` or, without one, for this run: a batch is searched in the index and in shards of its own, its accepted
+    postings become a new layer.  Null, empty and wordless descriptions are no cases; postings alike in everything repeat the
+    one with the smallest id.
     """
-    from ..io import cut
-
-    all_ = cut(describe(postings))
-    n = all_.count()
-    segments = max(1, -(-n // SHARD))
-    all_ = all_.withColumn("seg", F.pmod("who", F.lit(segments)).cast("int"))
-    batches = sorted(r[0] for r in all_.select("batch_no").distinct().collect())
-    index = RepeatIndex(segments, layers, least)
-    index.add(all_.where("batch_no <= 0"))
+    from ..io import scratch
+
+    spark = postings.sparkSession
+    batch_no = F.coalesce("batch_no", F.lit(0))
+    # one number a delivery
+    batches = sorted(r[0] for r in postings.select(batch_no.alias("b")).where("b > 0").distinct().collect())
+    index = RepeatIndex.create(spark, path or scratch(spark, "repeats"), segments, layers, least)
+    index.accept(index.describe(postings.where(batch_no <= 0)))
     out = None
-    for k in (b for b in batches if b > 0):
-        batch = all_.where(F.col("batch_no") == k)
-        own = cut(index.shards(batch))
-        hits = index.search(batch, own).join(batch.select(F.col("id").alias("a"), F.lit(True).alias("inner")), "a", "left").select("b", "a", "sim", F.coalesce("inner", F.lit(False)).alias("inner"))
-        repeats = cut(_resolve(hits))
-        index.add(cut(batch.join(repeats.select(F.col("b").alias("id")), "id", "left_anti")))
+    for k in batches:
+        repeats = index.add_batch(postings.where(batch_no == k))
         out = repeats if out is None else out.unionByName(repeats)
-    return out if out is not None else postings.sparkSession.createDataFrame([], "b bigint, a bigint")
+    return out if out is not None else spark.createDataFrame([], "b bigint, a bigint")

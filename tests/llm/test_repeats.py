@@ -51,7 +51,7 @@ def test_against_brute_force(spark):
             base.append((t, c, s))
             rows.append((i, b, t, c, " ".join(s), "x"))
     rows += [(300, 3, "R", "C", None, "x"), (301, 3, "R", "C", "", "x"), (302, 3, None, None, "nur wenige Worte hier", "x"), (303, 4, None, None, "Nur wenige Worte hier!", "x"), (304, 5, "R", "C", "- ?", "x")]
-    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA), segments=3).collect()}
     assert got == expected(rows)
     assert got[303] == 302
 
@@ -60,7 +60,7 @@ def test_a_third_are_copies_and_chains(spark):
     rng = random.Random(1)
     s = posting(rng)
     rows = [(0, 0, "A", "B", " ".join(s), "x")] + [(i, 1 + i % 5, "A", "B", " ".join(s), "x") for i in range(1, 60)]
-    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA), segments=3).collect()}
     assert got == dict.fromkeys(range(1, 60), 0)
 
 
@@ -73,7 +73,7 @@ def test_a_third_are_near_copies_with_slips(spark):
         for p in rng.sample(range(len(w)), 6):
             w[p] = f"slip{i}x{p}"
         rows.append((i, 1, "A", "B", " ".join(w if i % 3 == 0 else posting(rng)), "x"))
-    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.b: r.a for r in R.find_repeats(spark.createDataFrame(rows, SCHEMA), segments=3).collect()}
     assert got == dict.fromkeys(range(45, 940, 3), 42)
     assert got == expected(rows)
 
@@ -110,3 +110,29 @@ def test_keys():
     assert R.employer("GmbH") == "gmbh"
     assert R.role("Lead Dev / Ops (m/w/d) - Remote 80-100%") == R.role("lead dev, ops") == "lead dev ops"
     assert R.overlap(R.grams("a b a b"), R.grams("a b")) == pytest.approx(1 / 3)
+
+
+def test_five_calls_on_a_stored_index(spark, tmp_path):
+    rng = random.Random(7)
+    rows, base = [], []
+    for i in range(180):
+        if base and rng.random() < 0.5:
+            t, c, s = rng.choice(base)
+            s = s[1:] if rng.random() < 0.5 else s
+        else:
+            t, c, s = f"Role{rng.randint(0, 3)}", f"Firm{rng.randint(0, 9)}", posting(rng)
+            base.append((t, c, s))
+        rows.append((i, i // 30, t, c, " ".join(s), "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    path = str(tmp_path / "index")
+    R.RepeatIndex.create(spark, path, segments=3, layers=3).accept(R.RepeatIndex.load(spark, path).describe(df.where("batch_no = 0")))
+    got = {}
+    for k in range(1, 6):
+        index = R.RepeatIndex.load(spark, path)
+        assert len(index.layers) <= 3
+        got |= {r.b: r.a for r in index.add_batch(df.where(f"batch_no = {k}")).collect()}
+    assert got == expected(rows)
+    # an index whose last layer was not entered in the manifest is as before
+    before = R.RepeatIndex.load(spark, path)
+    before._write(before.describe(df.where("batch_no = 1")), "layer-unfinished")
+    assert R.RepeatIndex.load(spark, path).layers == before.layers
