@@ -20,3 +20,10 @@ def frozen_days(rows: DataFrame, at: str, today: str, lag: int, existing: DataFr
 def export_days(rows: DataFrame, at: str, days: DataFrame, path: str) -> None:
     """Append the given days to a table of one folder for each day, compressed; an empty day writes nothing."""
     rows.withColumn("day", F.to_date(at)).join(days.select("day"), "day", "left_semi").write.mode("append").partitionBy("day").option("compression", "zstd").parquet(path)
+
+
+def day_page(rows: DataFrame, at: str, day: str, key: str, after: int | None, size: int) -> DataFrame:
+    """A page of one UTC day's rows (from its midnight, the next one excluded) by ``key``, after a key if one is given."""
+    start = F.to_timestamp(F.lit(day))
+    page = rows.where((F.col(at) >= start) & (F.col(at) < start + F.make_dt_interval(F.lit(1))))
+    return (page.where(F.col(key) > after) if after is not None else page).orderBy(key).limit(size)

@@ -27,7 +27,7 @@ def _codes() -> dict[str, list[str]]:
 def parts_of(text: Column | str) -> Column:
     """The parts of a place text: cut at commas, semicolons, bars, slashes, brackets and spaced dashes; folded, blank ones left out."""
     cut = F.split(F.coalesce(fold(text), F.lit("")), r"[,;|/()\[\]]|\s[-–—]\s")
-    return F.array_distinct(F.filter(F.transform(cut, lambda p: F.trim(F.regexp_replace(p, r"[\s ]+", " "))), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(cut, lambda p: F.trim(F.regexp_replace(p, r"[\s\u00a0]+", " "))), lambda p: p != ""))
 
 
 def countries_of(text: Column | str) -> Column:

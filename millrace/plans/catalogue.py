@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, market, problems
+from . import derived, market, problems, reports
 
-QUERIES = problems.QUERIES | derived.QUERIES | market.QUERIES
-ORACLE = problems.ORACLE | derived.ORACLE | market.ORACLE
+QUERIES = problems.QUERIES | derived.QUERIES | market.QUERIES | reports.QUERIES
+ORACLE = problems.ORACLE | derived.ORACLE | market.ORACLE | reports.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
