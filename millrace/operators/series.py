@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 
 def streaks(events: DataFrame, keys: list[str], at: str, tie: str, flag: Column) -> DataFrame:
-    """For each key how many of its newest events in a row have ``flag``, how many at all, and when the last was."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))
-    f = F.coalesce(flag, F.lit(False))
-    n = events.withColumn("_n", F.row_number().over(w)).withColumn("_f", f)
-    first_other = F.min(F.when(~F.col("_f"), F.col("_n")))
-    return n.groupBy(*keys).agg((F.coalesce(first_other, F.count("*") + 1) - 1).alias("streak"), F.count_if("_f").alias("flagged"), F.max(F.when(F.col("_f"), F.unix_micros(at))).alias("last_us"))
+    """For each key how many of its newest events in a row have ``flag``, how many at all, and when the last was.
+
+    The newest event without the flag is found by aggregation and those after it are counted, so no key is sorted in one task.
+    Null keys are keys of their own.
+    """
+    e = events.select(*keys, F.struct(F.col(at).alias("a"), F.col(tie).alias("t")).alias("_o"), F.unix_micros(at).alias("_us"), F.coalesce(flag, F.lit(False)).alias("_f"))
+    last = e.groupBy(*keys).agg(F.max(F.when(~F.col("_f"), F.col("_o"))).alias("_other"), F.count_if("_f").alias("flagged"), F.max(F.when(F.col("_f"), F.col("_us"))).alias("last_us"))
+    right = last.select(*[F.col(k).alias(f"_{k}") for k in keys], "_other")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    newer = e.where("_f").join(right, same).where(F.col("_other").isNull() | (F.col("_o") > F.col("_other"))).groupBy(*keys).agg(F.count("*").alias("_n"))
+    newer = newer.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n")
+    return last.join(newer, same, "left").select(*keys, F.coalesce("_n", F.lit(0)).alias("streak"), "flagged", "last_us")
 
 
 def islands(events: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:

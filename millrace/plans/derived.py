@@ -143,5 +143,5 @@ def payload_languages(spark, d):
 
 @query("""WITH r AS (SELECT tier, source, count(*) AS n, count(*) FILTER (WHERE json_extract_string(detail, '$.stellenangebotsBeschreibung') IS NOT NULL) AS texts FROM needles GROUP BY GROUPING SETS ((tier), (source), ())) SELECT * FROM r""")
 def needle_sets(spark, d):
-    table(spark, d, "needles").withColumn("has", F.get_json_object("detail", "$.stellenangebotsBeschreibung").isNotNull()).createOrReplaceTempView("_needles")
-    return spark.sql("SELECT tier, source, count(*) AS n, count_if(has) AS texts FROM _needles GROUP BY GROUPING SETS ((tier), (source), ())")
+    n = table(spark, d, "needles").withColumn("texts", F.get_json_object("detail", "$.stellenangebotsBeschreibung").isNotNull())
+    return n.groupingSets([["tier"], ["source"], []], "tier", "source").agg(F.count("*").alias("n"), F.count_if("texts").alias("texts"))

@@ -110,10 +110,28 @@ def listing_postings(spark, d):
 
 
 @query("""WITH d AS (SELECT source, lower(trim(external_id, E' \\t')) AS external_id, payload::JSON->>'$.description' AS description, row_number() OVER (PARTITION BY source, lower(trim(external_id, E' \\t')) ORDER BY fetched_at DESC, id DESC) AS r FROM source_document WHERE kind = 'detail')
-SELECT l.id, length(d.description) AS chars FROM source_document l LEFT JOIN d ON d.source = l.source AND d.external_id = lower(trim(l.external_id, E' \\t')) AND d.r = 1 WHERE l.kind = 'listing'""")
+SELECT l.id, md5(d.description) AS digest FROM source_document l LEFT JOIN d ON d.source = l.source AND d.external_id = lower(trim(l.external_id, E' \\t')) AND d.r = 1 WHERE l.kind = 'listing'""")
 def listing_details(spark, d):
     docs = table(spark, d, "source_document").withColumn("external_id", F.regexp_replace("external_id", r"\t", " "))
-    return payloads.merge_details(payloads.read_listings(docs), docs).select("id", F.length("description").alias("chars"))
+    return payloads.merge_details(payloads.read_listings(docs), docs).select("id", F.md5("description").alias("digest"))
+
+
+_CANON = """WITH r AS (SELECT source, lower(trim(replace(replace(external_id, chr(9), ' '), chr(160), ' '))) AS external_id, kind, id, payload, fetched_at FROM source_document WHERE external_id IS NOT NULL),
+l AS (SELECT source, external_id, arg_max({'id': id, 'p': payload}, (fetched_at, id)) AS r FROM r WHERE kind = 'listing' GROUP BY 1, 2), d AS (SELECT source, external_id, arg_max({'id': id, 'p': payload}, (fetched_at, id)) AS r FROM r WHERE kind = 'detail' GROUP BY 1, 2),
+j AS (SELECT l.source, l.external_id, l.r.id AS listing_id, d.r.id AS detail_id, l.r.p::JSON AS a, d.r.p::JSON AS b, CASE WHEN l.source = 'arbeitsagentur' THEN 'a' WHEN l.source IN ('personio', 'rippling', 'workday') THEN 's' ELSE 'b' END AS f FROM l LEFT JOIN d USING (source, external_id)),
+t AS (SELECT source, external_id, listing_id, detail_id, CASE f WHEN 'a' THEN a->>'$.stellenangebotsTitel' WHEN 's' THEN a->>'$.name' ELSE a->>'$.title' END AS title, CASE f WHEN 'a' THEN a->>'$.firma' WHEN 's' THEN a->>'$.subcompany' ELSE a->>'$.company_name' END AS company,
+ CASE f WHEN 'a' THEN a->>'$.stellenlokationen[0].adresse.ort' WHEN 's' THEN a->>'$.office' ELSE a->>'$.location.name' END AS place, CASE f WHEN 's' THEN a->>'$.department' WHEN 'b' THEN a->>'$.departments[0].name' END AS department,
+ CASE f WHEN 'a' THEN a->>'$.gehaltsspanneVon' WHEN 's' THEN a->>'$.salary' ELSE a->>'$.salary_from' END AS salary, CASE f WHEN 'a' THEN a->>'$.verguetungsangabe' END AS pay, CASE f WHEN 'a' THEN a->>'$.datumErsteVeroeffentlichung' WHEN 's' THEN a->>'$.createdAt' ELSE a->>'$.first_published' END AS posted_at, b->>'$.description' AS description FROM j)"""
+_COLLAPSED = "nullif(trim(regexp_replace({0}, '[\\s\\x{{00a0}}]+', ' ', 'g')), '')"
+
+
+@query(f"""{_CANON} SELECT source, external_id, listing_id, detail_id, {_COLLAPSED.format('title')} AS title, {_COLLAPSED.format('company')} AS company, {_COLLAPSED.format('department')} AS department, {_COLLAPSED.format('posted_at')} AS posted_at, try_cast(salary AS DOUBLE) AS salary_from,
+CASE pay WHEN 'JAHRESGEHALT' THEN 'YEAR' WHEN 'MONATSGEHALT' THEN 'MONTH' WHEN 'STUNDENLOHN' THEN 'HOUR' END AS pay_period, md5({_COLLAPSED.format('description')}) AS description_digest,
+list_filter(list_transform(regexp_split_to_array(coalesce({_COLLAPSED.format('place')}, ''), '(?i)[;|]|\\s+(?:or|oder)\\s+'), lambda p: trim(p)), lambda p: p <> '') AS locations FROM t""")
+def canonical_postings(spark, d):
+    """Every posting as its source last told it, the detail merged into the listing."""
+    c = payloads.canonical_postings(table(spark, d, "source_document"))
+    return c.select("source", "external_id", "listing_id", "detail_id", "title", "company", "department", "posted_at", "salary_from", "pay_period", F.md5("description").alias("description_digest"), "locations")
 
 
 @query("SELECT source, lower(trim(external_id, E' \\t')) AS external_id, arg_max(id, (fetched_at, id)) AS id FROM source_document GROUP BY 1, 2")
@@ -342,18 +360,23 @@ def unplaced_by_source(spark, d):
     return table(spark, d, "job").select(F.col("id").alias("job_id"), "source").join(_facets(spark, d), "job_id").where((F.size("countries") == 0) & (F.size("place_ids") == 0)).groupBy("source").agg(F.count("*").alias("unplaced"))
 
 
-@query("SELECT job_id, max(derive_version) AS have_version FROM job_facet GROUP BY 1 HAVING max(derive_version) <> 11 UNION ALL SELECT id, NULL FROM job WHERE id NOT IN (SELECT job_id FROM job_facet)")
+@query("SELECT job_id, max(derive_version) AS have_version FROM job_facet GROUP BY 1 HAVING max(derive_version) <> 10 UNION ALL SELECT id, NULL FROM job WHERE id NOT IN (SELECT job_id FROM job_facet)")
 def stale_facets(spark, d):
-    return tables.stale(table(spark, d, "job").select(F.col("id").alias("job_id")), table(spark, d, "job_facet"), "job_id", "derive_version", 11)
+    return tables.stale(table(spark, d, "job").select(F.col("id").alias("job_id")), table(spark, d, "job_facet"), "job_id", "derive_version", 10)
 
 
-@query(f"""WITH s AS (SELECT DISTINCT {_NORM.format('c')} AS skill FROM (SELECT unnest(skills) AS c FROM job_facet)), t AS (SELECT DISTINCT id, unnest({_TOK.format("concat_ws(' ', title, description)")}) AS skill FROM job)
-SELECT skill, count(*) AS postings FROM s JOIN t USING (skill) GROUP BY 1""")
+@query(f"""WITH s AS (SELECT DISTINCT {_NORM.format('c')} AS skill FROM (SELECT unnest(skills) AS c FROM job_facet UNION ALL SELECT unnest(['Product Designer', 'Support Engineer', 'en el', 'no such skill'])) WHERE {_NORM.format('c')} <> ''), t AS (SELECT id, ' ' || {_NORM.format("concat_ws(' ', title, description)")} || ' ' AS t FROM job)
+SELECT skill, count(*) AS postings FROM s JOIN t ON contains(t.t, ' ' || skill || ' ') GROUP BY 1""")
 def skill_mentions(spark, d):
-    skills = table(spark, d, "job_facet").select(F.explode("skills").alias("s")).select(T.normalise("s").alias("skill")).distinct()
-    words = table(spark, d, "job").select(F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "title", "description")))).alias("skill"))
-    # words are counted before the join: a frequent word is one row in it
-    return words.groupBy("skill").agg(F.count("*").alias("postings")).join(skills, "skill")
+    """Postings that hold each skill as whole words, one or several."""
+    skills = table(spark, d, "job_facet").select(F.explode("skills").alias("s")).unionByName(spark.createDataFrame([("Product Designer",), ("Support Engineer",), ("en el",), ("no such skill",)], "s string"))
+    skills = skills.select(T.normalise("s").alias("skill")).where("skill <> ''").distinct().withColumn("n", F.size(F.split("skill", " ")))
+    # runs of as many words as some skill has; counted before the join, so a frequent run is one row in it
+    lengths = sorted(r[0] for r in skills.select("n").distinct().collect())
+    words = table(spark, d, "job").select(T.tokens(F.concat_ws(" ", "title", "description")).alias("w"))
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    found = words.select(F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths]))).alias("skill"))
+    return found.groupBy("skill").agg(F.count("*").alias("postings")).join(skills.select("skill"), "skill")
 
 
 # --- places -----------------------------------------------------------------------------------------------------------
@@ -361,10 +384,11 @@ def skill_mentions(spark, d):
 _KM = "round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2)))), 3)"
 
 
-@query(f"WITH c AS (SELECT id, lat, lon FROM place ORDER BY population DESC, id LIMIT 20) SELECT c.id AS centre, p.id, {_KM} AS km FROM c, place p WHERE {_KM} <= 40")
+@query(f"SELECT c.id AS centre, p.id, {_KM} AS km FROM place c, place p WHERE {_KM} <= 40")
 def places_nearby(spark, d):
+    """The places within 40 km of every place."""
     p = table(spark, d, "place")
-    return spatial.nearby(p.orderBy(F.desc("population"), "id").limit(20), p, 40)
+    return spatial.nearby(p, p, 40)
 
 
 @query(f"""WITH n AS (SELECT DISTINCT id, population, {_FOLD.format('n')} AS n FROM (SELECT id, population, unnest(list_append(coalesce(alternates, []), name)) AS n FROM place)), p AS (SELECT DISTINCT substr(name, 1, 3) AS prefix FROM place),
@@ -479,9 +503,10 @@ def rollup_boards(spark, d):
     return table(spark, d, "job").rollup("source", "scope").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
+def customers_without_large_orders(spark, d):
+    large = table(spark, d, "orders").where("o_totalprice > 300000")
+    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
@@ -498,10 +523,15 @@ def listings_against_details(spark, d):
     return a.intersect(b).select(F.lit("both").alias("side"), "external_id").unionByName(a.subtract(b).select(F.lit("listing").alias("side"), "external_id"))
 
 
-@query("SELECT event_type, true AS close_enough FROM events GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT user_id) AS users, 0 AS beyond_bound FROM events GROUP BY 1")
 def approximate_users(spark, d):
-    g = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("e"))
-    return g.select("event_type", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close_enough"))
+    """Exact users, and for how many of the sketches, merged by day, the estimate lies beyond three standard errors of the exact count."""
+    e = table(spark, d, "events")
+    by_day = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", 14).alias("s"))
+    merged = by_day.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("a"))
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    bound = F.greatest(F.lit(1.0), 3 * 1.04 / 128 * F.col("users"))
+    return exact.join(merged, "event_type").select("event_type", "users", (F.abs(F.col("a") - F.col("users")) > bound).cast("int").alias("beyond_bound"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import csv
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def read_xml_board(spark: SparkSession, path: str, row: str = "position") -> DataFrame:
@@ -29,10 +29,11 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith((".jsonl", ".ndjson")):
         return spark.read.json(path)
     if low.endswith(".json"):
-        with open(path, encoding="utf-8") as f:
-            top = json.load(f)
-        inside = next((k for k, v in top.items() if isinstance(v, list)), None) if isinstance(top, dict) else None
-        return read_json_board(spark, path, inside)
+        first = next((r.value.strip()[0] for r in spark.read.text(path).where("trim(value) <> ''").limit(1).collect()), "[")
+        whole = read_json_board(spark, path)
+        # an object at the top holds its rows in its first member that is a list of objects
+        lists = [f.name for f in whole.schema if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType)]
+        return read_json_board(spark, path, lists[0]) if first == "{" and lists else whole
     if low.endswith((".csv", ".tsv")):
         head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())
         try:
