@@ -117,8 +117,8 @@ class Gazetteer:
                 best[e] = min(k, best.get(e, 9))
         return best
 
-    def read(self, mention: str) -> list[tuple[int, int]] | None:
-        """(place id, distance) of the place a mention names; (-1, 0) for a town not in the list; None if it names no town."""
+    def _parts(self, mention: str) -> tuple[list[set[str]], set[str], set[str]]:
+        """The forms of each part that may be a town, and the countries and regions that stand beside."""
         forms = [{fold(p, True), fold(p, False)} for p in re.split(r"[,/()|:\[\]]|\s[-–—]\s", mention)]
         countries, regions, towns = set(), set(), []
         for fs in forms:
@@ -131,20 +131,41 @@ class Gazetteer:
                 regions |= hit
             elif not any(f in self.nowhere or ASIDE.match(f) for f in fs):
                 towns.append(fs)
-        if not towns:
-            return None
+        return towns, countries, regions
+
+    def _tries(self, towns: list[set[str]]) -> Iterator[dict[int, int] | None]:
+        """The entries, with distances, each reading of the parts comes near: a town and its river, then the first part; None where
+        the part is no town after all."""
         tries = [towns[0]]
-        if len(towns) > 1:  # a town and its river
+        if len(towns) > 1:
             tries.insert(0, {f"{a} {b}" for a in towns[0] for b in towns[1]})
         for fs in tries:
             bare = {TAIL.sub("", FRAME.sub("", f)) for f in fs}
             if any(f in self.nowhere or f in self.countries or f in self.regions for f in bare):
+                yield None
+                return
+            yield self._near({f for f in fs | bare if f})
+
+    def entries(self, mention: str) -> list[tuple[int, int]]:
+        """(place id, distance) of every place one of whose writings lies within the distance its length allows."""
+        towns, _, _ = self._parts(mention)
+        best: dict[int, int] = {}
+        for near in self._tries(towns) if towns else ():
+            for e, k in (near or {}).items():
+                best[self.info[e][0]] = min(k, best.get(self.info[e][0], 9))
+        return sorted(best.items(), key=lambda x: (x[1], x[0]))
+
+    def read(self, mention: str) -> list[tuple[int, int]] | None:
+        """(place id, distance) of the place a mention names; (-1, 0) for a town not in the list; None if it names no town."""
+        towns, countries, regions = self._parts(mention)
+        if not towns:
+            return None
+        for near in self._tries(towns):
+            if near is None:
                 return None
-            near = self._near({f for f in fs | bare if f})
-            if near:
-                picked = self._settle(near, countries, regions)
-                if picked:
-                    return picked
+            picked = self._settle(near, countries, regions) if near else []
+            if picked:
+                return picked
         return [(-1, 0)]
 
     def _settle(self, near: dict[int, int], countries: set[str], regions: set[str]) -> list[tuple[int, int]]:
@@ -161,33 +182,49 @@ class Gazetteer:
         return [(self.info[best][0], near[best])]
 
 
-def map_to_places(mentions: DataFrame, places: DataFrame, max_places: int = 100_000, salts: int = 8) -> DataFrame:
-    """``key, mention, place_id, distance``: the place each mention names, -1 if it names a town that is not in the list.
-
-    ``mentions``: key, mention (free text that may hold several towns); ``places``: id, name, country, region, population,
-    alternates.  Each distinct mention is read once: a trie of all writings of all places is walked by a Levenshtein
-    automaton whose distance depends on the length.  Among the places within it the nearest is taken, and of several the
-    one whose country or region stands beside the name; failing that the most populous.  Words around a name (post codes,
-    districts, "near") are set aside.  Mentions without a town give no row; null and blank ones neither.
-
-    The list is read into each task and may have at most ``max_places`` rows.
-    """
+def _read_once(single: DataFrame, places: DataFrame, max_places: int, method: str) -> DataFrame:
+    """``mention, place_id, distance`` of each distinct mention, by a method of the :class:`Gazetteer`."""
     rows = [tuple(r) for r in places.select("id", "name", "country", "region", "population", "alternates").limit(max_places + 1).collect()]
     if len(rows) > max_places:
         raise ValueError(f"the reference list has more than {max_places} rows")
-    held = mentions.sparkSession.sparkContext.broadcast(rows)
-    single = mentions.where("mention IS NOT NULL").select("key", F.explode(F.split("mention", SPLIT)).alias("mention")).where(F.trim("mention") != "").distinct()
+    held = single.sparkSession.sparkContext.broadcast(rows)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = Gazetteer(held.value)
         for b in batches:
-            out = [(m, p, k) for m in b.mention for p, k in g.read(m) or []]
+            out = [(m, p, k) for m in b.mention for p, k in getattr(g, method)(m) or []]
             yield pd.DataFrame(out, columns=["mention", "place_id", "distance"])
 
     # few bytes but much work: spread over all tasks, whatever their size (by a hash, as a plain repartition by the
     # key would fall away after the distinct)
-    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = single.select("mention").distinct().repartition(parts, F.xxhash64("mention")).mapInPandas(read, "mention string, place_id bigint, distance int")
+    parts = int(single.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return single.select("mention").distinct().repartition(parts, F.xxhash64("mention")).mapInPandas(read, "mention string, place_id bigint, distance int")
+
+
+def _mentions(mentions: DataFrame) -> DataFrame:
+    return mentions.where("mention IS NOT NULL").select("key", F.explode(F.split("mention", SPLIT)).alias("mention")).where(F.trim("mention") != "").distinct()
+
+
+def entries_within(mentions: DataFrame, places: DataFrame, max_places: int = 100_000) -> DataFrame:
+    """``mention, place_id, distance``: for each distinct mention all places that have a writing within the distance its length
+    allows, the automaton's whole answer.  Mentions without a town, or with none near, give no row."""
+    return _read_once(_mentions(mentions), places, max_places, "entries")
+
+
+def map_to_places(mentions: DataFrame, places: DataFrame, max_places: int = 100_000, salts: int = 8) -> DataFrame:
+    """``key, mention, place_id, distance``: the place each mention names, -1 if it names a town that is not in the list.
+
+    ``mentions``: key, mention (free text that may hold several towns); ``places``: id, name, country, region, population,
+    alternates.  Each distinct mention is read once: a trie of all writings of all places is walked by a Levenshtein
+    automaton whose distance depends on the length and which gives all entries within it (:func:`entries_within`).  Of these
+    the nearest is taken, and of several the one whose country or region stands beside the name; failing that the most
+    populous.  Words around a name (post codes, districts, "near") are set aside.  Mentions without a town give no row; null
+    and blank ones neither.
+
+    The list is read into each task and may have at most ``max_places`` rows.
+    """
+    single = _mentions(mentions)
+    found = _read_once(single, places, max_places, "read")
     # a mention may stand in a third of all rows: its rows are spread over salts
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return single.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(spread, ["mention", "salt"]).drop("salt")

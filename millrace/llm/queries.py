@@ -10,7 +10,7 @@ from .languages import mislabelled, posting_languages
 from .leaks import find_leaks, needle_texts
 from .mixing import mix
 from .neighbours import embedding_rows, nearest_neighbours, recall_against_exact
-from .places import map_to_places, posting_mentions
+from .places import entries_within, map_to_places, posting_mentions
 from .repeats import find_repeats
 from .spans import shared_share, shared_spans
 
@@ -41,6 +41,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_places(mentions, table(spark, d, "place")).select(F.col("key").alias("job_id"), "place_id").distinct()
 
 
+def p3_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All places near each distinct mention, before one is settled on."""
+    mentions = posting_mentions(table(spark, d, "job"), table(spark, d, "job_facet"))
+    return entries_within(mentions, table(spark, d, "place"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = find_repeats(table(spark, d, "job"))
     return pairs.select(F.col("a").alias("job_id_a"), F.col("b").alias("job_id_b"))
@@ -96,5 +102,5 @@ _P10 = """WITH d AS (SELECT doc_id, text, unnest(generate_series(1, length(text)
 w AS (SELECT doc_id, i, md5(substr(text, i, 600)) AS h FROM d), s AS (SELECT h FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id))
 SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM (SELECT doc_id, coalesce(least(600, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i)), 600) AS n FROM w SEMI JOIN s USING (h)) GROUP BY 1"""
 
-QUERIES = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_recall": p2_recall, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p8_sampled": p8_sampled, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_recall": p2_recall, "p3_found": p3_found, "p3_entries": p3_entries, "p7_found": p7_found, "p8_found": p8_found, "p8_edited": p8_edited, "p8_sampled": p8_sampled, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {"p2_found": _P2, "p8_found": _P8, "p10_found": _P10}

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.places import Gazetteer, Trie, limit_for, map_to_places
+from millrace.llm.places import Gazetteer, Trie, entries_within, limit_for, map_to_places
 
 PLACES = [
     (1, "Wolmheim", "DE", "Zeilland", 500, ["Alizares"]), (2, "Sankt Grendücklmoor", "DE", "Moorgau", 90, []), (3, "Müssurwrode", "DE", "Scharkgau", 10, None), (4, "Müssurwrode", "ES", "Gizonaland", 99, []),
@@ -67,3 +67,12 @@ def test_operator(spark):
     assert {r.place_id for r in map_to_places(m, places.limit(0)).collect()} == {-1}
     with pytest.raises(ValueError):
         map_to_places(m, places, max_places=3)
+
+
+def test_all_entries_before_one_is_settled_on(spark, g):
+    assert g.entries("Müssurwrode, Spain") == [(3, 0), (4, 0)]
+    assert g.entries("Wolmhiem") == [(1, 1)] and g.entries("Remote") == [] and g.entries("Unbekanntstadt") == []
+    df = spark.createDataFrame([(1, "Muessurwrode; Wolmheim"), (2, "Wolmheim"), (3, None), (4, " ")], "key long, mention string")
+    places = spark.createDataFrame(PLACES, "id int, name string, country string, region string, population int, alternates array<string>")
+    assert {tuple(r) for r in entries_within(df, places).collect()} == {("Muessurwrode", 3, 0), ("Muessurwrode", 4, 0), (" Wolmheim", 1, 0), ("Wolmheim", 1, 0)}
+    assert entries_within(df.limit(0), places).count() == 0
