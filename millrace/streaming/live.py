@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def windowed_counts(events: DataFrame, at: str, late: str, width: str, slide: str | None, keys: list[str]) -> DataFrame:
@@ -41,3 +42,23 @@ def running_streaks(events: DataFrame, key: str, at: str, flag: str) -> DataFram
 def drain(events: DataFrame, into, checkpoint: str) -> None:
     """Work off what is there and stop: ``into(batch, id)`` gets each micro-batch once."""
     events.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def settled(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """What an updating stream has to say once its input is worked off: each key's row of the last micro-batch that changed it.
+
+    Every micro-batch is appended to a table at ``path`` under its number; a batch that is run again after a failure replaces
+    its rows, so none counts twice.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    columns = stream.columns
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    rows = spark.read.schema(schema).parquet(path)
+    values = [c for c in columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values, F.col("_batch")), "_batch").alias("_r"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in columns])
