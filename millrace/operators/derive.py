@@ -37,14 +37,15 @@ CONTRACT = (
 
 def first_term(text: Column | str, terms: tuple) -> Column:
     """The first label one of whose terms stands in the folded text; ``unknown`` otherwise."""
-    t = F.concat(fold(text), F.lit(" "))
-    out = F.lit("unknown")
-    for label, words in reversed(terms):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(t, F.lit(w))
-        out = F.when(hit, label).otherwise(out)
-    return out
+
+    def label(t: Column) -> Column:
+        out = F.lit("unknown")
+        for name, words in reversed(terms):
+            out = F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w)), name).otherwise(out)
+        return out
+
+    # the folded text is bound by a one-element array, so that it is worked out once and not once a word
+    return F.get(F.transform(F.array(F.concat(F.coalesce(fold(text), F.lit("")), F.lit(" "))), label), F.lit(0))
 
 
 def places_named(text: Column | str) -> Column:

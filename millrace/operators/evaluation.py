@@ -52,3 +52,13 @@ def inversions(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     bad_before = F.sum(F.when(~F.col("good"), 1).otherwise(0)).over(Window.partitionBy("q").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, -1))
     w = j.withColumn("before", F.coalesce(bad_before, F.lit(0)))
     return w.groupBy("q").agg(F.coalesce(F.sum(F.when(F.col("good"), F.col("before"))), F.lit(0)).alias("inversions"), (F.min(F.when(~F.col("good"), F.col("pos"))) - F.max(F.when(F.col("good"), F.col("pos")))).alias("margin"))
+
+
+def recall_by_tier(ranked: DataFrame, planted: DataFrame, cut: int) -> DataFrame:
+    """``tier, planted, in_<cut>, found, mrr, median_place`` of planted items (q, id, tier) in ranked lists (q, id, pos).
+
+    What is not ranked counts as missed, with reciprocal 0 and no place in the median.
+    """
+    j = planted.select("q", "id", "tier").join(ranked.select("q", "id", "pos"), ["q", "id"], "left")
+    mrr = F.round(F.sum(F.coalesce(1.0 / F.col("pos"), F.lit(0.0))) / F.count("*"), 6)
+    return j.groupBy("tier").agg(F.count("*").alias("planted"), F.count_if(F.col("pos") <= cut).alias(f"in_{cut}"), F.count("pos").alias("found"), mrr.alias("mrr"), F.percentile("pos", 0.5).alias("median_place"))

@@ -16,8 +16,8 @@ from ..functions.text import tokens
 PASS = 4096
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """``q, id, pos``: the ``k`` nearest rows of ``corpus`` (id, vec) by cosine for each of ``queries`` (q, vec), exactly.
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int = 6, with_sim: bool = False) -> DataFrame:
+    """``q, id, pos`` (and ``sim``, if asked for): the ``k`` nearest rows of ``corpus`` (id, vec) by cosine for each of ``queries`` (q, vec), exactly.
 
     Similarities are rounded to ``digits``; ties go to the smaller id, a query never finds its own id.  Each pass sends about
     ``PASS`` queries and reads the corpus once: tasks keep the best of each batch, so only k rows a query and batch are
@@ -63,7 +63,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int =
             held.unpersist()
         out = hits if out is None else out.unionByName(hits)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "id", "pos")
+    return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "id", "pos", *(["sim"] if with_sim else []))
 
 
 def word_index(docs: DataFrame, fields: dict[str, int]) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, market, problems, reports, streams
+from . import derived, market, problems, reads, reports, streams
 
-QUERIES = problems.QUERIES | derived.QUERIES | market.QUERIES | reports.QUERIES | streams.QUERIES
-ORACLE = problems.ORACLE | derived.ORACLE | market.ORACLE | reports.ORACLE | streams.ORACLE
+QUERIES = problems.QUERIES | derived.QUERIES | market.QUERIES | reports.QUERIES | streams.QUERIES | reads.QUERIES
+ORACLE = problems.ORACLE | derived.ORACLE | market.ORACLE | reports.ORACLE | streams.ORACLE | reads.ORACLE
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
