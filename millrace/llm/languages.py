@@ -16,7 +16,9 @@ from .mixing import language_code
 from .places import current_facets
 
 CODES = ("de", "en", "fr", "nl", "es", "it")
-HIDDEN, CORE, CONTEXT = 24, 192, 32
+HIDDEN, CORE, CONTEXT = 24, 448, 32
+#: Bytes, padding included, that are labelled at once.
+CELLS = 131_072
 #: Pieces of fewer characters (a cut at an abbreviation, a rule) join their neighbour.
 LEAST = 30
 
@@ -154,8 +156,10 @@ class Network:
                 where.append((i, s, lo))
         out = [np.zeros((len(b), self.bo.size), np.float32) for b in data]
         order = sorted(range(len(wins)), key=lambda k: len(wins[k]))
-        for a in range(0, len(order), 512):
-            part = order[a : a + 512]
+        while order:
+            # the longest windows last, so that a batch's own lengths differ little
+            n = max(1, CELLS // max(1, len(wins[order[-1]])))
+            part, order = order[-n:], order[:-n]
             x = np.full((len(part), len(wins[part[-1]])), 32, np.uint8)
             for j, k in enumerate(part):
                 x[j, : len(wins[k])] = wins[k]
