@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, slot: Column | None = None) -> DataFrame:
     """``left`` with the ``value`` of the last row of ``right`` at or before ``at`` within the keys; null if there is none.
 
-    Nothing is paired, and no key is gathered: a key's time is cut into slots (days, or ``slot``, which must grow with ``at``), each
+    Nothing is paired, and no key is gathered: a key's time is cut into slots (days, of numbers thousands, or ``slot``, which must
+    grow with ``at``), each
     slot's last value is carried over the slots between, and within a slot both sides go through one sorted union with a
     running last value.  On equal times the right row counts as before; of several the larger value; null values do not count.
     """
     cols = left.columns
-    slot = slot if slot is not None else F.date_trunc("day", at)
+    if slot is None:
+        slot = F.floor(F.col(at) / 1000) if isinstance(left.schema[at].dataType, NumericType) else F.date_trunc("day", at)
     kind = right.schema[value].dataType
     r = right.where(F.col(value).isNotNull()).select(*keys, at, F.col(value).alias("_v"), slot.alias("_slot"))
     # one row a key and slot: the value with which a slot begins

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..io import bounded
 from .spatial import nearby
 
+#: Most areas that are sent to all tasks at once.
+MOST_AREAS = 4096
+
 # Folded names of countries, ISO 3166 codes and the names of regions of several.
 COUNTRIES = {
     "DE": ("deutschland", "germany", "allemagne", "alemania", "germania", "duitsland"), "AT": ("osterreich", "oesterreich", "austria", "autriche", "oostenrijk"),
@@ -79,7 +83,9 @@ def admitted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
     r = rows.select("id", "blank", "dedup_group", "closed_at", "first_seen_at", none("countries", "string").alias("p_countries"), none("place_ids", "int").alias("p_ids"), none("unplaced_countries", "string").alias("p_unplaced"), F.coalesce(F.col("work_mode") == "remote", F.lit(False)).alias("p_remote"))
-    a = F.broadcast(wanted)
+    a, fits = bounded(wanted, MOST_AREAS)
+    if not fits:
+        raise ValueError(f"more than {MOST_AREAS} areas: ask for them in blocks")
     over = F.arrays_overlap
     admits = over("p_countries", "countries") | over("p_ids", "area_ids") | over("p_unplaced", "area_countries") | F.col("p_remote")
     j = r.crossJoin(a).withColumn("admits", admits).withColumn("stated", (F.size("p_countries") > 0) | (F.size("p_unplaced") > 0) | (F.size("p_ids") > 0))

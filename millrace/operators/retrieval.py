@@ -66,26 +66,36 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, digits: int =
     return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("q", "id", "pos", *(["sim"] if with_sim else []))
 
 
-def word_index(docs: DataFrame, fields: dict[str, int]) -> DataFrame:
-    """``id, term, weight``: each word of a document with the summed weights of the fields it stands in, once for each time."""
+def word_index(docs: DataFrame, fields: dict[str, int], asked: DataFrame | None = None) -> DataFrame:
+    """``id, term, weight``: each word of a document with the summed weights of the fields it stands in, once for each time.
+
+    With ``asked`` (term) only those words are kept, before anything is grouped or shuffled.
+    """
+    from ..io import bounded
+
     parts = None
     for field, weight in fields.items():
         p = docs.select("id", F.explode(tokens(field)).alias("term"), F.lit(weight).alias("w"))
         parts = p if parts is None else parts.unionByName(p)
+    if asked is not None:
+        parts = parts.join(bounded(asked, 200_000)[0], "term", "left_semi")
     return parts.groupBy("id", "term").agg(F.sum("w").alias("weight"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, fields: dict[str, int], k: int = 10) -> DataFrame:
     """``q, id, score, pos``: documents that hold all words of a query, best first (sum of the words' weights, then smaller id).
 
-    A query is driven by its rarest word: only that word's documents are looked up, the other words are checked on them.  So a
-    word that stands in a third of all documents is never joined with all queries.  Queries without words find nothing.
+    The words asked for are indexed once.  A query is driven by its rarest word: only that word's documents are looked up, the
+    other words are checked on them.  So a word that stands in a third of all documents is never joined with all queries.
+    Queries without words find nothing.
     """
-    index = word_index(docs, fields)
+    from ..io import cut
+
     q = queries.select("q", F.array_distinct(tokens("text")).alias("terms")).where(F.size("terms") > 0)
+    each = q.select("q", F.explode("terms").alias("term"))
+    index = cut(word_index(docs, fields, each.select("term").distinct()))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    each = q.select("q", F.explode("terms").alias("term")).join(df, "term", "left")
-    rare = each.groupBy("q").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    rare = each.join(df, "term", "left").groupBy("q").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     pairs = rare.join(index.select("term", "id"), "term").join(q, "q").select("q", "id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     hits = pairs.join(index, ["id", "term"]).groupBy("q", "id").agg(F.sum("weight").alias("score"), F.count("*").alias("have"), F.first("n").alias("n")).where("have = n")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as T
-from ..io import table
+from ..io import bounded, table
 from ..operators import derive, discovery, evaluation, locations, retrieval, search, tables
 from .derived import RULES, _case
 from .market import _WORDS, _docs
@@ -31,7 +31,7 @@ SELECT q, count(*) FILTER (WHERE 1 - sim < 0.5) AS nearer, count(*) AS rows FROM
 def rows_nearer_than(spark, d):
     """How many rows lie nearer to each label's first vector than a given distance."""
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.groupBy("label").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("qv")).withColumnRenamed("label", "q"))
+    q, _ = bounded(e.groupBy("label").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("qv")).withColumnRenamed("label", "q"), 4096)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     # one stated vector a label against all rows
     s = e.select(F.col("embedding").cast("array<double>").alias("v")).crossJoin(q).withColumn("sim", F.round(dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv")), 6))
