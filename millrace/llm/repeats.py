@@ -249,7 +249,7 @@ class RepeatIndex:
         self.segments, self.most, self.least, self.layers = segments, most, least, layers
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, segments: int = 64, layers: int = 4, least: float = 0.5) -> RepeatIndex:
+    def create(cls, spark: SparkSession, path: str, segments: int = 16, layers: int = 4, least: float = 0.5) -> RepeatIndex:
         index = cls(spark, path, 0, segments, layers, least, [])
         index._commit([])
         return index
@@ -370,7 +370,7 @@ def _resolve(edges: DataFrame) -> DataFrame:
         open_ = open_.join(new.select("b"), "b", "left_anti").join(new.select(F.col("b").alias("a")), "a", "left_anti")
 
 
-def find_repeats(postings: DataFrame, least: float = 0.5, layers: int = 4, segments: int = 64, path: str | None = None) -> DataFrame:
+def find_repeats(postings: DataFrame, least: float = 0.5, layers: int = 4, segments: int = 16, path: str | None = None) -> DataFrame:
     """``b, a``: postings of batches 1 and later and the accepted posting each repeats (smaller id, earlier or same batch).
 
     A repeat has the same role and employer (titles and names folded) and a description whose bigrams overlap by ``least``
