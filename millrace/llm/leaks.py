@@ -17,32 +17,24 @@ _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->|<![^<>]
 # Elements that stand inside a word or line, so their tags separate no words.
 _INLINE = frozenset("a abbr b big code em font i mark s small span strong sub sup u wbr".split())
 _WORD = re.compile(r"[^\W_]+")
-_FOLD = {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o", ord("đ"): "d", ord("ł"): "l", ord("ı"): "i"}
+# Letters that do not decompose, and what they are compared as.
+_LETTERS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("đ", "d"), ("ł", "l"), ("ı", "i"))
 
 
-class _Marks(dict):
-    """Translation that drops combining marks and invisible characters."""
+def _class(*categories: str) -> str:
+    """The characters of some categories as a character class; a pattern passes over all others far faster than a translation."""
+    points = [c for c in (*range(0x10000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) in categories]
+    edges = [i for i, c in enumerate(points) if i == 0 or points[i - 1] != c - 1]
+    runs = zip(edges, [*edges[1:], len(points)])
+    return "[" + "".join(re.escape(chr(points[i])) + "-" + re.escape(chr(points[j - 1])) for i, j in runs) + "]+"
 
-    def __missing__(self, c: int):
-        self[c] = None if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf") else c
-        return self[c]
 
-
-class _Invisible(dict):
-    """Translation that drops invisible characters alone."""
-
-    def __missing__(self, c: int):
-        self[c] = None if unicodedata.category(chr(c)) == "Cf" else c
-        return self[c]
-
-
-_MARKS, _INVISIBLE = _Marks(), _Invisible()
+_MARKS, _INVISIBLE = re.compile(_class("Mn", "Me", "Cf")), re.compile(_class("Cf"))
+#: Stands after the vowel of an umlaut until it is known how the umlaut is written; no text has it.
+_UMLAUT = "\ue000"
 _DIGRAPH = re.compile("([aou])e+")
 
 
-_UMLAUTS = {ord("ä"): "ae", ord("ö"): "oe", ord("ü"): "ue", ord("Ä"): "ae", ord("Ö"): "oe", ord("Ü"): "ue"}
-
-
 def _bare(text: str | None) -> str:
     """A text with entities decoded and markup gone."""
     if not text:
@@ -57,9 +49,12 @@ def _bare(text: str | None) -> str:
 
 def _folded(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.casefold()
-    return text if text.isascii() else text.translate(_FOLD)
+    if not text.isascii():
+        for letter, plain in _LETTERS:
+            text = text.replace(letter, plain)
+    return text
 
 
 def word_forms(text: str | None) -> list[list[str]]:
@@ -67,14 +62,14 @@ def word_forms(text: str | None) -> list[list[str]]:
     characters gone, case and accents folded, ß as ss; ä as a and, in a second list if that differs, as ae.  Two texts agree
     where one of the lists of either does.  Null and empty texts have none."""
     text = _bare(text)
-    if not text:
-        return []
-    forms = [_WORD.findall(_folded(text))]
     if not text.isascii():
-        whole = unicodedata.normalize("NFC", text.translate(_INVISIBLE))
-        other = whole.translate(_UMLAUTS)
-        if other != whole:
-            forms.append(_WORD.findall(_folded(other)))
+        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text).replace(_UMLAUT, " "))
+        for umlaut, vowel in zip("äöüÄÖÜ", "aouaou"):
+            text = text.replace(umlaut, vowel + _UMLAUT)
+    text = _folded(text)
+    forms = [_WORD.findall(text.replace(_UMLAUT, ""))]
+    if _UMLAUT in text:
+        forms.append(_WORD.findall(text.replace(_UMLAUT, "e")))
     return [f for f in forms if f]
 
 
