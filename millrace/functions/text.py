@@ -92,3 +92,20 @@ def url_variants(c: Column | str) -> Column:
     """Spellings under which a URL may be stored: either scheme, with and without www, with and without a final slash."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), r"^https?://", ""), r"^www\.", ""), r"/+$", "")
     return F.flatten(F.transform(F.array(F.lit("http://"), F.lit("http://www."), F.lit("https://"), F.lit("https://www.")), lambda p: F.array(F.concat(p, bare), F.concat(p, bare, F.lit("/")))))
+
+
+# Legal forms of companies, and marks of titles that tell no role, folded.
+LEGAL_FORMS = "gmbh|mbh|ag|se|kg|ohg|kgaa|co|ltd|llc|inc|plc|bv|nv|sa|sarl|sas|srl|spa|gruppe|group|holding|e v"
+GENDER_MARKS = r"\((?:[a-z]\s?[/|*]\s?)+[a-z]\)|\b[mwdfxhv](?:\s?[/|]\s?[mwdfxhv]){1,3}\b|\(all genders\)|[*:]in(?:nen)?\b"
+
+
+def employer_key(c: Column | str) -> Column:
+    """A company's name for linking records: folded, without legal forms at its end; a name of nothing else stays."""
+    n = normalise(c)
+    bare = F.trim(F.regexp_replace(n, rf"(?:\s(?:{LEGAL_FORMS}))+$", ""))
+    return F.when(bare != "", bare).otherwise(n)
+
+
+def role_key(c: Column | str) -> Column:
+    """A title for linking records: folded, without gender marks and signs."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold(c), GENDER_MARKS, " "), r"[^\p{L}\p{N}]", " "), r"\s+", " "))

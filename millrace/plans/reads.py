@@ -226,3 +226,14 @@ def runs_compared(spark, d):
     later = arm.withColumn("after", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("posted"), "id"))).where("pos <= 20")
     before, after = F.count_if(F.col("pos") <= 5), F.count_if(F.col("after") <= 5)
     return later.groupBy((F.col("q") % 3).alias("tier")).agg(before.alias("top_before"), after.alias("top_after"), F.count_if(F.col("after") - F.col("pos") > 20).alias("slid"), (after < before).alias("dropped"))
+
+
+_EMPLOYER = f"trim(regexp_replace({_NORM.format('company')}, '(?:\\s(?:{T.LEGAL_FORMS}))+$', ''))"
+
+
+@query(f"""WITH k AS (SELECT id, CASE WHEN {_EMPLOYER} <> '' THEN {_EMPLOYER} ELSE {_NORM.format('company')} END AS employer, trim(regexp_replace(regexp_replace(regexp_replace({_FOLD.format('title')}, '{T.GENDER_MARKS}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '\\s+', ' ', 'g')) AS role FROM job)
+SELECT employer, role, count(*) AS postings, min(id) AS held FROM k GROUP BY 1, 2""")
+def linked_records(spark, d):
+    """Postings by employer without its legal form and title without gender marks, with the smallest id of each."""
+    j = table(spark, d, "job").select("id", T.employer_key("company").alias("employer"), T.role_key("title").alias("role"))
+    return j.groupBy("employer", "role").agg(F.count("*").alias("postings"), F.min("id").alias("held"))

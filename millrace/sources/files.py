@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,32 @@ def link_column(rows: DataFrame, sample: int = 200) -> str | None:
     n = rows.limit(sample).agg(*[F.count_if(F.col(f"`{c}`").rlike(r"^(https?://|www\.)")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     best = max(range(len(cols)), key=lambda i: n[i])
     return cols[best] if n[best] else None
+
+
+def boards_in_toml(text: str) -> list[tuple[str, str]]:
+    """(source, board) of a TOML text of lists of boards by source: blanks trimmed, empty and repeated ones left out, order kept."""
+    out: dict[tuple[str, str], None] = {}
+    for source, boards in tomllib.loads(text).items():
+        if not isinstance(boards, list) or not all(isinstance(b, str) for b in boards):
+            raise ValueError(f"{source} is no list of texts")
+        out |= {(source, b.strip()): None for b in boards if b.strip()}
+    return list(out)
+
+
+def read_links(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, link, rest`` of list files in whatever layout: the column with most links, and the other short texts as a map.
+
+    Each file is read by the tasks; rows without a link are left out, files without any give no row.
+    """
+    out = None
+    for path in paths:
+        rows = read_list(spark, path)
+        link = link_column(rows)
+        if link is None:
+            continue
+        others = [c for c, t in rows.dtypes if t == "string" and c != link]
+        short = [x for c in others for x in (F.lit(c), F.when(F.length(F.col(f"`{c}`")) <= 200, F.col(f"`{c}`")))]
+        rest = F.map_filter(F.create_map(*short), lambda k, v: v.isNotNull()) if short else F.create_map().cast("map<string,string>")
+        part = rows.where(F.col(f"`{link}`").rlike(r"^(https?://|www\.)")).select(F.lit(path).alias("path"), F.col(f"`{link}`").alias("link"), rest.alias("rest"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "path string, link string, rest map<string,string>")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import parse as P
+from millrace.functions import text as T
 from millrace.operators import changes, joins, locations, search, series
-from millrace.sources import payloads
+from millrace.sources import files, payloads
 
 DOC = "id long, title string, company string, location string, description string, posted timestamp, q string, rank string"
 
@@ -185,3 +186,26 @@ def test_canonical_postings(spark):
     assert (got["lever"].title, got["lever"].listing_id, got["lever"].description, got["lever"].locations, got["lever"].remote) == ("Neu", 2, "Text", ["Remote"], True)
     assert (got["jobicy"].title, got["jobicy"].remote, got["nix"].title) == (None, True, None)
     assert (got["arbeitsagentur"].pay_period, got["arbeitsagentur"].salary_from, got["arbeitsagentur"].full_time) == ("YEAR", 1.5, False)
+
+
+def test_keys_for_linking(spark):
+    assert [one(spark, v, T.employer_key("x")) for v in ("ACME GmbH & Co. KG", "Acme", "GmbH", "Müller-Bau e. V.", None)] == ["acme", "acme", "gmbh", "muller bau", None]
+    assert [one(spark, v, T.role_key("x")) for v in ("Lead Dev (m/w/d)", "Lead  Dev w/m/d", "Koch (all genders)", "Entwickler*in", None)] == ["lead dev", "lead dev", "koch", "entwickler", None]
+
+
+def test_boards_in_toml():
+    assert files.boards_in_toml('lever = [" a ", "b", "", "a"]\nashby = ["c"]') == [("lever", "a"), ("lever", "b"), ("ashby", "c")]
+    assert files.boards_in_toml("") == []
+    with pytest.raises(ValueError):
+        files.boards_in_toml("lever = 3")
+
+
+def test_links_of_list_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name;url\nAlpha;https://a.example\nBeta;\n")
+    (tmp_path / "b.json").write_text('{"meta": 1, "rows": [{"site": "https://b.example", "who": "B"}]}')
+    (tmp_path / "c.json").write_text('[{"site": "https://c.example", "tags": [{"x": 1}]}]')
+    (tmp_path / "d.txt").write_text("https://d.example\nkein link\n")
+    (tmp_path / "e.csv").write_text("name,age\nAlpha,3\n")
+    got = {r.link: r.rest for r in files.read_links(spark, [str(tmp_path / f) for f in ("a.csv", "b.json", "c.json", "d.txt", "e.csv")]).collect()}
+    assert got == {"https://a.example": {"name": "Alpha"}, "https://b.example": {"who": "B"}, "https://c.example": {}, "https://d.example": {}}
+    assert files.read_links(spark, []).count() == 0
