@@ -11,6 +11,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -40,14 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: lineage ends here.
 
-    The table survives the loss of executors and is removed when the session's process ends.
+    The table survives the loss of executors and is removed when the session's process ends.  The shuffle files of the write
+    are removed with its end, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -120,3 +120,46 @@ def test_recall_is_counted(spark):
     r = N.recall_against_exact(rows, nearest_neighbours(rows, 5, 2), 5, 2).collect()
     assert [(x.asked, x.wanted) for x in r] == [(2, 10)] and r[0].recall >= 0.9
     assert N.recall_against_exact(rows.limit(0), nearest_neighbours(rows.limit(0), 5, 2), 5, 2).count() == 0
+
+
+def test_vectors_are_written_once(spark):
+    import subprocess
+
+    from millrace.io import release, shared_dir
+
+    rng = np.random.default_rng(8)
+    rows = [(i, "a", rng.normal(size=768).astype(np.float32).tolist(), 1, "x") for i in range(600)]
+    release()
+    held = lambda: int(subprocess.run(["du", "-sb", shared_dir(spark).removeprefix("file:")], capture_output=True, text=True).stdout.split()[0])
+    before = held()
+    assert nearest_neighbours(spark.createDataFrame(rows, SCHEMA)).count() == 3000
+    assert held() - before < 2 * 600 * 768 * 4
+    release()
+
+
+def test_parts_and_pieces_of_tables(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, "a", (centres[rng.integers(40)] + 0.35 * rng.normal(size=16)).tolist(), 1, "x") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = answer(df)
+    monkeypatch.setattr(N, "PART", 60)
+    assert Tables(16, 900).bits == 4
+    got, want = answer(df), brute(rows, 5)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= sum(len(set(want[q]) & set(whole[q])) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_store_reads_what_was_written(tmp_path):
+    from contextlib import ExitStack
+    from unittest.mock import patch
+
+    v = np.array([[1, 2], [0.1, 3], [1e30, 0], [5, 6]], np.float32)
+    store = N.Store(str(tmp_path / "s"), 2)
+    with patch.object(N.TaskContext, "get") as task, ExitStack() as files:
+        task.return_value.taskAttemptId.return_value = 3
+        at = store.writer(files)(v, np.arange(4))
+    assert (at & 1).tolist() == [0, 1, 1, 0]
+    back = [3, 1, 0, 2, 1]
+    assert store(at[back]).tolist() == v[back].tolist() and store.keys(at[back]).tolist() == back
+    with pytest.raises(ValueError):
+        N._local("hdfs://host/folder")
