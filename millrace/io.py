@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """``df`` written to a table in the shared folder and read back: lineage ends here.
 
@@ -49,12 +62,8 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with tidy(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,6 +75,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Delete the tables written by :func:`cut` and :func:`scratch`; call it once results are stored.
 
@@ -76,8 +90,7 @@ def release() -> None:
         if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
             continue
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception as e:  # noqa: BLE001 - the gateway may be going down
             warnings.warn(f"could not delete {path}: {type(e).__name__}", stacklevel=2)
 

@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..io import bounded, delete, tidy
 from .leaks import symbols, words_of
 
 # Words of company names that tell legal form or group, and words of titles that tell no role.
 LEGAL = frozenset("gmbh ag se ltd bv sarl kg co ohg group gruppe groupe holding e v ev inc llc sa nv plc srl spa".split())
 NO_ROLE = frozenset("m w d f x h e u gn div divers all genders remote".split())
 
-DIM, LINKS, SHARD, QUERY_BLOCK = 256, 12, 4096, 2048
+DIM, LINKS, SHARD, QUERY_BLOCK = 256, 12, 1024, 2048
+#: Rows about shards that are sent to all tasks.
+NAMES = 200_000
 EMPTY = "b bigint, a bigint, sim double"
 
 
@@ -166,8 +169,18 @@ def _pack(**arrays: np.ndarray) -> bytes:
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(g, np.uint32) for g in pdf.grams]
     g = Graph.build(sketch(sets))
-    blob = _pack(ids=pdf.id.to_numpy(), same=pdf.same.to_numpy(), vectors=g.vectors.astype(np.float16), indptr=g.indptr, indices=g.indices, beam=np.array([g.beam]), cut=np.cumsum([0, *map(len, sets)]), grams=np.concatenate(sets) if sets else np.empty(0, np.uint32))
-    return pd.DataFrame({"seg": [int(pdf.seg.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "blob": [blob]})
+    # vectors are made from the grams again when they are needed
+    blob = _pack(ids=pdf.id.to_numpy(), same=pdf.same.to_numpy(), indptr=g.indptr.astype(np.int32), indices=g.indices, beam=np.array([g.beam]), cut=np.cumsum([0, *map(len, sets)]), grams=np.concatenate(sets) if sets else np.empty(0, np.uint32))
+    return pdf[["seg", "chunks", "chunk", "piece"]].head(1).assign(blob=[blob])
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The postings of shards."""
+    for b in batches:
+        for seg, blob in zip(b.seg.tolist(), b.blob):
+            with np.load(io.BytesIO(blob)) as z:
+                ids, same, cut, grams = z["ids"], z["same"], z["cut"], z["grams"]
+            yield pd.DataFrame({"id": ids, "same": same, "grams": [grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], "seg": seg})
 
 
 def _whole_groups(ids, same, sets, held, held_same, held_sets, least: float) -> Iterator[tuple[int, int, float]]:
@@ -193,32 +206,34 @@ def _search_shard(least: float):
         out = []
         sets = [np.frombuffer(g, np.uint32) for g in queries.grams]
         ids, same = queries.id.to_numpy(), queries.same.to_numpy()
-        v = sketch(sets)
-        for blob in shards.blob:
+        for blob in shards.blob if len(ids) else []:
             with np.load(io.BytesIO(blob)) as z:
-                graph = Graph(z["vectors"].astype(np.float32), z["indptr"], z["indices"], int(z["beam"][0]))
                 held, held_same, cut, every = z["ids"], z["same"], z["cut"], z["grams"]
+                links, beam = (z["indptr"], z["indices"]), int(z["beam"][0])
             # how many of the shard's postings each query may repeat
             order = np.lexsort((held, held_same))
             groups, first = np.unique(held_same[order], return_index=True)
             by = dict(zip(groups.tolist(), np.split(held[order], first[1:])))
             may = np.array([np.searchsorted(by[w], i) if w in by else 0 for w, i in zip(same.tolist(), ids.tolist())], int)
-            rest = []
-            for s in range(0, len(ids), 512):
-                q, node, _ = graph.search(v[s : s + 512])
-                q = q + s
+            # a beam cannot hold all of more postings than it is wide, and where there are none there is nothing to find
+            live, rest = np.flatnonzero((may > 0) & (may <= beam)), [np.flatnonzero(may > beam)]
+            graph = Graph(sketch([every[i:j] for i, j in zip(cut[:-1], cut[1:])]), *links, beam) if len(live) else None
+            for s in range(0, len(live), 512):
+                here = live[s : s + 512]
+                q, node, _ = graph.search(sketch([sets[i] for i in here]))
+                q = here[q]
                 # the same role at the same employer, accepted before
                 ok = (held_same[node] == same[q]) & (held[node] < ids[q])
                 # a beam that does not hold all of them is no answer: near copies may fill it
-                missed = np.bincount(q[ok], minlength=len(ids)) < may
-                missed[: s], missed[s + 512 :] = False, False
+                missed = np.zeros(len(ids), bool)
+                missed[here] = np.bincount(q[ok], minlength=len(ids))[here] < may[here]
                 rest.append(np.flatnonzero(missed))
                 ok &= ~missed[q]
                 for i, k in zip(q[ok].tolist(), node[ok].tolist()):
                     sim = overlap(sets[i], every[cut[k] : cut[k + 1]])
                     if sim >= least:
                         out.append((int(ids[i]), int(held[k]), sim))
-            r = np.concatenate(rest) if rest else np.empty(0, int)
+            r = np.concatenate(rest)
             out += _whole_groups(ids[r], same[r], [sets[i] for i in r], held, held_same, lambda k: every[cut[k] : cut[k + 1]], least)
         return pd.DataFrame(out, columns=["b", "a", "sim"])
 
@@ -233,10 +248,11 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 class RepeatIndex:
     """Stored shards of graphs over accepted postings, in one folder.
 
-    Postings are divided by employer into ``segments``, a number fixed when the index is created; a segment is divided into
-    shards of about ``SHARD`` postings, so a large employer has many shards and none is unbounded.  Each batch adds a layer of
-    shards; when there are more than ``layers`` beside the first, they are compacted into one.  A batch reads the shards of the
-    segments it has postings in, and of its own postings alone; earlier ones are not described again.  Where a beam does
+    Postings are divided by employer into ``segments``, a number fixed when the index is created; a segment of a layer is divided
+    by role and employer into chunks of about ``SHARD`` postings, one that grew beyond twice that into several shards, so none is
+    unbounded.  A query is searched in its chunk of each layer alone, so the work of a query does not grow with the index.  Each
+    batch adds a layer of shards; when there are more than ``layers`` beside the first, they are compacted into one.  A batch reads
+    the shards of the segments it has postings in, and of its own postings alone; earlier ones are not described again.  Where a beam does
     not hold all of a shard's postings of the query's role and employer, it is compared with all of those exactly.
 
     A layer counts once the manifest names it: a run that ends half-way leaves the index as it was.
@@ -264,24 +280,36 @@ class RepeatIndex:
         self.spark.createDataFrame([row], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         self.version, self.layers = self.version + 1, layers
 
-    def _read(self, layer: str, what: str) -> DataFrame:
-        schema = {"postings": "id bigint, same bigint, grams binary, seg int", "shards": "chunk int, blob binary, seg int"}[what]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{layer}/{what}")
+    def _read(self, layer: str) -> DataFrame:
+        return self.spark.read.schema("chunks int, chunk int, piece int, blob binary, seg int").parquet(f"{self.path}/{layer}/shards")
 
     def describe(self, postings: DataFrame) -> DataFrame:
         return describe(postings).withColumn("seg", F.pmod("who", F.lit(self.segments)).cast("int"))
 
-    def shards(self, postings: DataFrame) -> DataFrame:
-        """Shards of described postings; equal ones are held once, under the smallest id."""
-        p = postings.groupBy("seg", "same", "grams").agg(F.min("id").alias("id"))
-        sizes = p.groupBy("seg").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("chunks"))
-        p = p.join(sizes, "seg").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        return _spread(p.select("seg", "chunk", "id", "same", "grams"), "seg", "chunk").groupBy("seg", "chunk").applyInPandas(_build_shard, "seg int, chunk int, blob binary")
+    def _held(self, postings: DataFrame) -> DataFrame:
+        """Described postings; equal ones are held once, under the smallest id."""
+        return postings.groupBy("seg", "same", "grams").agg(F.min("id").alias("id"))
+
+    def shards(self, held: DataFrame) -> DataFrame:
+        """Shards of postings from :meth:`_held`, which are read twice: their numbers first."""
+        # a row a segment, and a row a chunk that has several shards
+        sizes = held.groupBy("seg").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("chunks"))
+        p = held.join(F.broadcast(sizes), "seg").withColumn("chunk", F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int"))
+        large, _ = bounded(p.groupBy("seg", "chunk").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("pieces")).where("pieces > 1"), NAMES)
+        p = p.join(large, ["seg", "chunk"], "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # a task has chunks of few segments, so that it writes few files
+        p = p.withColumn("lane", F.pmod("chunk", F.lit(-(-4 * parts // self.segments))))
+        return p.select("seg", "lane", "chunks", "chunk", "piece", "id", "same", "grams").repartition(parts, "seg", "lane").groupBy("seg", "lane", "chunk", "piece").applyInPandas(_build_shard, "seg int, chunks int, chunk int, piece int, blob binary")
 
     def _write(self, postings: DataFrame, layer: str) -> None:
         at = f"{self.path}/{layer}"
-        _spread(postings.select("id", "same", "grams", "seg"), "seg").write.mode("overwrite").partitionBy("seg").parquet(f"{at}/postings")
-        self.shards(self._read(layer, "postings")).write.mode("overwrite").partitionBy("seg").parquet(f"{at}/shards")
+        with tidy(self.spark):
+            self._held(postings).write.mode("overwrite").parquet(f"{at}/postings")
+            held = self.spark.read.schema("seg int, same bigint, grams binary, id bigint").parquet(f"{at}/postings")
+            self.shards(held).write.mode("overwrite").partitionBy("seg").parquet(f"{at}/shards")
+        # the shards hold them too
+        delete(self.spark, f"{at}/postings")
 
     def accept(self, described: DataFrame) -> None:
         """Add described postings as a layer; compact when there are too many."""
@@ -289,10 +317,10 @@ class RepeatIndex:
         self._write(described, name)
         layers = [*self.layers, name]
         if len(layers) > self.most:
-            merged = self._read(layers[1], "postings")
+            merged = self._read(layers[1])
             for layer in layers[2:]:
-                merged = merged.unionByName(self._read(layer, "postings"))
-            self._write(merged, f"{name}-compact")
+                merged = merged.unionByName(self._read(layer))
+            self._write(merged.select("seg", "blob").mapInPandas(_unpack, "id bigint, same bigint, grams binary, seg int"), f"{name}-compact")
             layers = [layers[0], f"{name}-compact"]
         self._commit(layers)
 
@@ -300,18 +328,23 @@ class RepeatIndex:
         """``b, a, sim`` of described queries and the held postings they repeat, in all layers and in ``extra`` shards."""
         # at most as many as the index has segments: only their folders are read
         mine = [r[0] for r in queries.select("seg").distinct().collect()]
-        every = [self._read(layer, "shards").where(F.col("seg").isin(mine)) for layer in self.layers] + ([extra] if extra is not None else [])
+        every = [self._read(layer).where(F.col("seg").isin(mine)) for layer in self.layers] + ([extra] if extra is not None else [])
         held = None
         for n, s in enumerate(every):
-            s = s.select("seg", "chunk", "blob", F.lit(n).alias("layer"))
+            s = s.select("seg", "chunks", "chunk", "piece", "blob", F.lit(n).alias("layer"))
             held = s if held is None else held.unionByName(s)
         if held is None:
             return self.spark.createDataFrame([], EMPTY)
-        blocks = queries.groupBy("seg").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-        left = held.join(blocks, "seg").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        names = held.select(*[F.col(c).alias(c) for c in ("seg", "chunk", "layer")]).join(blocks, "seg")
-        right = queries.select("seg", "id", "same", "grams").join(names, "seg").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-        key = ["seg", "chunk", "layer", "block"]
+        # a row a segment and layer: into how many chunks it is divided
+        divided = F.broadcast(held.select(*[F.col(c).alias(c) for c in ("seg", "layer", "chunks")]).distinct())
+        asked = queries.select("seg", "id", "same", "grams").join(divided, "seg").withColumn("chunk", F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int"))
+        at = ["seg", "layer", "chunk"]
+        names, _ = bounded(held.select(*[F.col(c).alias(c) for c in (*at, "piece")]), NAMES)
+        blocks, _ = bounded(asked.groupBy(*at).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")), NAMES)
+        left = held.drop("chunks").join(blocks, at).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = asked.drop("chunks").join(names, at).join(blocks, at).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+        key = [*at, "piece", "block"]
         return _spread(left, *key).groupBy(*key).cogroup(_spread(right, *key).groupBy(*key)).applyInPandas(_search_shard(self.least), EMPTY)
 
     def add_batch(self, postings: DataFrame) -> DataFrame:
@@ -320,7 +353,7 @@ class RepeatIndex:
         from ..io import cut
 
         batch = cut(self.describe(postings))
-        own = cut(self.shards(batch))
+        own = cut(self.shards(cut(self._held(batch))))
         inner = batch.select(F.col("id").alias("a"), F.lit(True).alias("inner"))
         hits = self.search(batch, own).join(inner, "a", "left").select("b", "a", "sim", F.coalesce("inner", F.lit(False)).alias("inner"))
         repeats = cut(_resolve(hits))

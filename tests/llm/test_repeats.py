@@ -136,3 +136,25 @@ def test_five_calls_on_a_stored_index(spark, tmp_path):
     before = R.RepeatIndex.load(spark, path)
     before._write(before.describe(df.where("batch_no = 1")), "layer-unfinished")
     assert R.RepeatIndex.load(spark, path).layers == before.layers
+
+
+def test_a_role_of_an_employer_stands_in_one_chunk(spark, tmp_path, monkeypatch):
+    import io
+
+    monkeypatch.setattr(R, "SHARD", 12)
+    rng = random.Random(11)
+    # one role with more postings than two shards hold, and many with few
+    rows = [(i, 0, f"Role {'x' * (i % 16) if i % 2 else 'hot'}", "Firm", " ".join(posting(rng, 3)), "x") for i in range(120)]
+    index = R.RepeatIndex.create(spark, str(tmp_path / "index"), segments=1)
+    index.accept(index.describe(spark.createDataFrame(rows, SCHEMA)))
+    chunks, pieces = {}, {}
+    for r in index._read(index.layers[0]).collect():
+        with np.load(io.BytesIO(bytes(r.blob))) as z:
+            pieces.setdefault(r.chunk, []).append(len(z["ids"]))
+            for same in z["same"].tolist():
+                chunks.setdefault(same, set()).add(r.chunk)
+    assert len(pieces) > 1 and sum(map(sum, pieces.values())) == 120
+    assert all(len(c) == 1 for c in chunks.values()) and max(map(len, pieces.values())) > 1
+    # each posting is found again, in whichever piece it stands
+    again = spark.createDataFrame([(1000 + i, 1, *r[2:]) for i, r in enumerate(rows)], SCHEMA)
+    assert {r.b: r.a for r in index.add_batch(again).collect()} == {1000 + i: i for i in range(120)}
